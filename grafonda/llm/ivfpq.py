@@ -216,8 +216,9 @@ def _answer(index: Index, probes: int, k: int, rerank: int):
         best_n = np.concatenate(best_n) if best_n else np.zeros(0, np.int64)
         best_s = np.concatenate(best_s) if best_s else np.zeros(0, np.float32)
         edge = np.flatnonzero(np.r_[True, asked[1:] != asked[:-1]]) if len(asked) else np.zeros(0, np.int64)
-        values = pa.StructArray.from_arrays([pa.array(-best_s.astype(np.float32)), pa.array(best_n)], names=["d", "n"])
-        return pa.table({"n": asked[edge], "top": pa.ListArray.from_arrays(pa.array(np.r_[edge, len(asked)].astype(np.int32)), values)})
+        offsets = pa.array(np.r_[edge, len(asked)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (-best_s.astype(np.float32), best_n)]
+        return pa.table({"n": asked[edge], "ds": lists[0], "ns": lists[1]})
 
     return run
 
@@ -294,9 +295,11 @@ def most_similar(
     run = _answer
     answered = (
         both.groupBy("cell", "v", "q")
-        .applyInArrow(lambda table: run(shared.value, probes, k, rerank)(table), "n long, top array<struct<d:float,n:long>>")
+        .applyInArrow(lambda table: run(shared.value, probes, k, rerank)(table), "n long, ds array<float>, ns array<long>")
     )
-    merged = answered.groupBy("n").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+    # two flat arrays travel in a third of the room of an array of structs
+    zipped = F.arrays_zip(F.flatten(F.collect_list("ds")).alias("d"), F.flatten(F.collect_list("ns")).alias("n"))
+    merged = answered.groupBy("n").agg(F.slice(F.sort_array(zipped), 1, k).cast("array<struct<d:float,n:long>>").alias("top"))
     return merged, vectors.select("id", "n")
 
 
