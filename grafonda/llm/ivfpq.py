@@ -76,8 +76,26 @@ def fit(sample: np.ndarray, lists: int, cells: int, subspaces: int, seed: int =
     part = dim // subspaces
     some = residual[rng.permutation(len(residual))[:8192]]
     books = np.stack([kmeans(np.ascontiguousarray(some[:, m * part : (m + 1) * part]), 256, 8, rng) for m in range(subspaces)])
-    of = nearest(centroids, kmeans(centroids, cells, 15, rng))[:, 0] if cells > 1 else np.zeros(lists, np.int32)
-    return Index(centroids, books, of)
+    weight = np.bincount(nearest(sample, centroids)[:, 0], minlength=lists)
+    return Index(centroids, books, bisected(centroids, weight, cells))
+
+
+def bisected(centroids: np.ndarray, weight: np.ndarray, cells: int) -> np.ndarray:
+    """Cell of each centroid: halves of equal weight along the direction of greatest spread, again and again."""
+    out = np.zeros(len(centroids), np.int32)
+    parts = [(np.arange(len(centroids)), cells, 0)]
+    while parts:
+        rows, share, first = parts.pop()
+        if share < 2 or len(rows) < 2:
+            out[rows] = first
+            continue
+        x = centroids[rows] - centroids[rows].mean(0)
+        order = rows[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+        half = share // 2
+        total = np.cumsum(weight[order] + 1e-9)
+        cut = int(np.clip(np.searchsorted(total, total[-1] * half / share), 1, len(order) - 1))
+        parts += [(order[:cut], half, first), (order[cut:], share - half, first + half)]
+    return out
 
 
 def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
