@@ -27,8 +27,8 @@ def any_match(column: Column, patterns) -> Column:
 
 
 def collapse(column: Column) -> Column:
-    """White space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(column, r"\s+", " "))
+    """White space runs of any kind as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(column, r"[\s\p{Z}]+", " "))
 
 
 def windows(column: Column, size: int = 900, overlap: int = 120) -> Column:
@@ -111,7 +111,7 @@ def strip_markup(column: Column) -> Column:
 
 def disambiguation(column: Column) -> Column:
     """struct<clean, hint>: a name and what stood in brackets at its end, closed or not."""
-    closed, open_ = r"\s*\(([^)]+)\)\s*$", r"\s*\(([^)]*)$"
+    closed, open_ = r"[\s\p{Z}]*\(([^)]+)\)[\s\p{Z}]*$", r"[\s\p{Z}]*\(([^)]*)$"
     clean_closed, clean_open = F.trim(F.regexp_replace(column, closed, "")), F.trim(F.regexp_replace(column, open_, ""))
     nothing = F.struct(column.alias("clean"), F.lit("").alias("hint"))
     return (

@@ -62,7 +62,7 @@ def link_context(spark, sf):
     return pages.select("page_id", "title").join(ents, "page_id", "left").join(tos, "page_id", "left")
 
 
-_CENTRES = "ce AS (SELECT DISTINCT lower(trim(regexp_replace(canonical_name, '\\s+', ' ', 'g'))) AS entity FROM resolved_entities WHERE entity_type = 'Location')"
+_CENTRES = "ce AS (SELECT DISTINCT lower(trim(regexp_replace(canonical_name, '[\\s\\p{Z}]+', ' ', 'g'))) AS entity FROM resolved_entities WHERE entity_type = 'Location')"
 
 
 def _centres(spark, sf):

@@ -74,11 +74,11 @@ pg AS (
 ), ch AS (
   SELECT chunk_id, min(page_id) AS page_id, min(seq) AS seq, min(section) AS section, min(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id
 ), mn AS (
-  SELECT DISTINCT chunk_id, entity FROM (SELECT chunk_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS entity FROM ner_mentions) WHERE chunk_id IS NOT NULL AND entity <> ''
+  SELECT DISTINCT chunk_id, entity FROM (SELECT chunk_id, lower(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) AS entity FROM ner_mentions) WHERE chunk_id IS NOT NULL AND entity <> ''
 ), en AS (
   SELECT entity, coalesce(max_by(t, {'k': t IS NOT NULL, 'n': n, 't': t}), 'Unknown') AS label FROM (
     SELECT entity, t, count(*) AS n FROM (
-      SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS entity, nullif(entity_type, 'Unknown') AS t FROM ner_mentions) WHERE entity <> '' GROUP BY entity, t)
+      SELECT lower(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) AS entity, nullif(entity_type, 'Unknown') AS t FROM ner_mentions) WHERE entity <> '' GROUP BY entity, t)
   GROUP BY entity
 ), lk AS (
   SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM (SELECT trim(source_pages[1]) AS a, trim(source_pages[2]) AS b FROM qa_pairs WHERE len(source_pages) >= 2) q
