@@ -20,7 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafonda.session import materialise
@@ -223,11 +224,35 @@ def _answer(index: Index, probes: int, k: int, rerank: int):
     return run
 
 
+SUPERSEDED_BROADCAST = 500_000
+
+
+def _latest_in_files(rows: DataFrame, id_col: str, vector_col: str, at_col: str) -> DataFrame | None:
+    """Latest rows of a file-based table without moving a vector: places of superseded rows are found from ids and times alone.
+
+    They are usually few: counted, they are broadcast up to a bound and joined by exchange beyond it.
+    None if the rows do not come straight from files.
+    """
+    try:
+        placed = rows.select("*", F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_p"))
+        placed.schema
+    except AnalysisException:
+        return None
+    w = Window.partitionBy(id_col).orderBy(F.desc_nulls_last(at_col), "_f", "_p")
+    narrow = placed.where(F.col(id_col).isNotNull()).select(id_col, at_col, "_f", "_p")
+    old = materialise(narrow.withColumn("r", F.row_number().over(w)).where("r > 1").select("_f", "_p"), "superseded")
+    old = F.broadcast(old) if old.count() <= SUPERSEDED_BROADCAST else old
+    return placed.where(F.col(id_col).isNotNull()).join(old, ["_f", "_p"], "left_anti").select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+
+
 def indexed_vectors(rows: DataFrame, id_col: str, vector_col: str, at_col: str | None = None) -> DataFrame:
-    """(id, vector): of each id the value with the latest time (null times come first, equal times by value)."""
+    """(id, vector): of each id the value with the latest time; null times come first, of equal times one row counts."""
     vector = F.col(vector_col).cast("array<float>")
     if at_col is None:
         return rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(vector).alias("vector"))
+    latest = _latest_in_files(rows, id_col, vector_col, at_col)
+    if latest is not None:
+        return latest
     return rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.struct(F.col(at_col), vector.alias("v"))).alias("_m")).select("id", F.col("_m.v").alias("vector"))
 
 
