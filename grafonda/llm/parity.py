@@ -139,25 +139,33 @@ def _signatures(threshold: float):
 SIGNATURE = "key long, form long, n int, own boolean, s0 long, s1 long, s2 long"
 
 
-def _near(i, j, form, n, own, s, threshold):
-    """Of candidate row pairs (i, j), those that may be similar: sketch bound, size bound, one of them of this band."""
-    total = n[i] + n[j]
-    bound = np.floor((1 - threshold) / (1 + threshold) * total + 1e-9)
-    far = np.bitwise_count(s[i, 0] ^ s[j, 0]).astype(np.int32)
-    far += np.bitwise_count(s[i, 1] ^ s[j, 1])
-    far += np.bitwise_count(s[i, 2] ^ s[j, 2])
+_SMALL, _CHUNK = 16, 512
+
+
+def _kept(i, j, far, form, n, own, threshold):
+    """Of row pairs (i, j) with sketch distance `far`, those that may be similar: own size bound, one of them of this band."""
+    bound = np.floor((1 - threshold) / (1 + threshold) * (n[i] + n[j]) + 1e-9)
     ok = (far <= bound) & (own[i] | own[j]) & (form[i] != form[j])
     i, j = i[ok], j[ok]
     return np.minimum(form[i], form[j]), np.maximum(form[i], form[j])
 
 
-def _arrays(batch: pa.RecordBatch):
-    get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-    s = np.stack([get(f"s{w}").view(np.uint64) for w in range(3)], 1)
-    return get("key"), get("form"), get("n"), get("own"), s
+def _block(left: slice, right: slice, form, n, own, s, threshold):
+    """Row pairs of two stretches by whole matrices of sketch distances; one bound for all first, then each pair's own."""
+    far = np.bitwise_count(s[0][left, None] ^ s[0][None, right])
+    far += np.bitwise_count(s[1][left, None] ^ s[1][None, right])
+    far += np.bitwise_count(s[2][left, None] ^ s[2][None, right])
+    most = int((1 - threshold) / (1 + threshold) * (int(n[left].max()) + int(n[right].max())) + 1e-9)
+    i, j = np.nonzero(far <= min(most, 255))
+    near = far[i, j]
+    i, j = i + left.start, j + right.start
+    later = j > i
+    return _kept(i[later], j[later], near[later], form, n, own, threshold)
 
 
-_SPAN = 1 << 17
+def _arrays(batch: pa.RecordBatch):
+    get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+    return get("key"), get("form"), get("n"), get("own"), *(get(f"s{w}").view(np.uint64) for w in range(3))
 
 
 def _join(threshold: float, tile: int):
@@ -169,27 +177,36 @@ def _join(threshold: float, tile: int):
             names=["a", "b", "key", "part", "n", "own", "s0", "s1", "s2"],
         )
 
-    def complete(key, form, n, own, s):
+    def complete(key, form, n, own, *s):
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         length = np.diff(np.r_[start, len(key)])
-        left = np.repeat(start + length, length) - np.arange(len(key)) - 1  # rows of the group behind each row
-        alive = np.flatnonzero(left)
-        lag = 1
-        while len(alive):
-            yield from _emit(alive, alive + lag, form, n, own, s)
-            lag += 1
-            alive = alive[left[alive] >= lag]
-
-    def _emit(i, j, form, n, own, s):
-        for at in range(0, len(i), _SPAN):
-            a, b = _near(i[at : at + _SPAN], j[at : at + _SPAN], form, n, own, s, threshold)
-            if len(a):
-                yield pairs(a, b)
-
-    def defer(key, form, n, own, s, base):
+        # small groups: all rows against the rows a fixed step behind, the same key on both sides
+        small = np.repeat(length <= _SMALL, length)
+        for lag in range(1, min(_SMALL, int(length.max(initial=1)))):
+            i = np.flatnonzero(small[:-lag] & (key[:-lag] == key[lag:]))
+            if len(i):
+                j = i + lag
+                far = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int32) for w in s)
+                a, b = _kept(i, j, far, form, n, own, threshold)
+                if len(a):
+                    yield pairs(a, b)
+        out_a, out_b = [], []
+        for first, size in zip(start[length > _SMALL].tolist(), length[length > _SMALL].tolist()):
+            for x in range(first, first + size, _CHUNK):
+                for y in range(x, first + size, _CHUNK):
+                    a, b = _block(slice(x, min(x + _CHUNK, first + size)), slice(y, min(y + _CHUNK, first + size)), form, n, own, s, threshold)
+                    if len(a):
+                        out_a.append(a), out_b.append(b)
+            if len(out_a) > 256:
+                yield pairs(np.concatenate(out_a), np.concatenate(out_b))
+                out_a, out_b = [], []
+        if out_a:
+            yield pairs(np.concatenate(out_a), np.concatenate(out_b))
+
+    def defer(base, key, form, n, own, *s):
         part = ((np.arange(len(key)) + base) // tile).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(form), pa.nulls(len(form), pa.int64()), pa.array(key), pa.array(part), pa.array(n), pa.array(own)] + [pa.array(s[:, w].view(np.int64)) for w in range(3)],
+            [pa.array(form), pa.nulls(len(form), pa.int64()), pa.array(key), pa.array(part), pa.array(n), pa.array(own)] + [pa.array(w.view(np.int64)) for w in s],
             names=["a", "b", "key", "part", "n", "own", "s0", "s1", "s2"],
         )
 
@@ -203,7 +220,7 @@ def _join(threshold: float, tile: int):
             if hot is not None:  # the rest of a deferred group
                 end = int(np.searchsorted(now[0], hot, side="right"))
                 if end:
-                    yield defer(*(x[:end] for x in now), passed)
+                    yield defer(passed, *(x[:end] for x in now))
                     passed += end
                 if end == len(now[0]):
                     continue
@@ -214,7 +231,7 @@ def _join(threshold: float, tile: int):
                 yield from complete(*(x[:first] for x in held))
                 held = tuple(x[first:] for x in held)
             if len(held[0]) > tile:
-                yield defer(*held, 0)
+                yield defer(0, *held)
                 hot, passed, held = held[0][0], len(held[0]), None
         if held is not None and len(held[0]):
             yield from complete(*held)
@@ -230,14 +247,15 @@ def _tiles(threshold: float):
     import pandas as pd
 
     def compare(both: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        s = both[["s0", "s1", "s2"]].to_numpy(np.int64).view(np.uint64)
-        form, n, own, right = (both[c].to_numpy() for c in ("form", "n", "own", "right"))
-        j = np.flatnonzero(right)
-        for i in np.flatnonzero(~right) if len(j) else ():
-            a, b = _near(np.full(len(j), i), j, form, n, own, s, threshold)
-            out_a.append(a), out_b.append(b)
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+        both = both.sort_values("right", kind="stable")
+        split, size = int((~both["right"]).sum()), len(both)
+        form, n, own = (both[c].to_numpy() for c in ("form", "n", "own"))
+        s = [np.ascontiguousarray(both[f"s{w}"].to_numpy(np.int64)).view(np.uint64) for w in range(3)]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for x in range(0, split, _CHUNK):
+            for y in range(split, size, _CHUNK):
+                out.append(_block(slice(x, min(x + _CHUNK, split)), slice(y, min(y + _CHUNK, size)), form, n, own, s, threshold))
+        return pd.DataFrame({"a": np.concatenate([a for a, _ in out]), "b": np.concatenate([b for _, b in out])})
 
     return compare
 
