@@ -10,9 +10,10 @@ Jaccard similarity of t or more differ in at most ``d = (1-t)/(1+t) * (|A|+|B|)`
   block is its key. Differing elements spoil at most as many blocks as there are of them, so for
   d < k one block is always equal. For 0.65 and questions of about 100 elements d is 42, and blocks
   small enough for that guarantee (43 blocks of 2.4 elements) meet in nearly every pair of texts.
-  So k is the least number for which *three independent* partitions into k blocks all fail with
-  probability below ``miss`` (1e-4, from the exact occupancy formula) at the largest d of a band;
-  at smaller differences the loss falls much faster and is exactly zero for d < k.
+  So k is the least number for which R *independent* partitions into k blocks all fail with
+  probability below ``MISS`` (1e-4, from the exact occupancy formula) at the largest d of a band;
+  at smaller differences the loss falls much faster and is exactly zero for d < k. R is chosen by
+  expected work (see `partitioning`), so that larger collections get larger blocks.
 * *Size bands.* Bands of set sizes grow by 1/t, so partners lie in one band or in neighbours; a
   record enters its own band and, as the smaller partner, the next one.
 * *Verify.* Candidates pass the sketch bound where they meet and then an exact comparison.
@@ -35,9 +36,12 @@ from grafonda.functions.plainform import plain_udf
 from grafonda.session import materialise
 
 _SYMBOLS = 37
+_DRAWN = 200  # forms looked at to plan the work; results do not depend on it
 UNIVERSE = _SYMBOLS**3
-PARTITIONS = 3
+MOST_PARTITIONS = 32
 MISS = 1e-4
+# measured seconds of one signature row (made, exchanged, sorted) and of one comparison of two sketches
+_ROW_COST, _PAIR_COST = 1.5e-6, 8e-9
 
 
 @cache
@@ -49,7 +53,7 @@ def _empty_block_fails(d: int, k: int) -> float:
 
 
 @cache
-def blocks_for(d: int, partitions: int = PARTITIONS, miss: float = MISS) -> int:
+def blocks_for(d: int, partitions: int, miss: float = MISS) -> int:
     """Fewest blocks for which `partitions` independent partitions lose a pair of difference d with less than `miss`."""
     low, high = 1, d + 1
     while low < high:
@@ -61,6 +65,23 @@ def blocks_for(d: int, partitions: int = PARTITIONS, miss: float = MISS) -> int:
     return low
 
 
+def partitioning(d: int, forms: int, differences: np.ndarray) -> tuple[int, int]:
+    """(blocks, partitions) of least expected work for largest difference d among so many forms.
+
+    All choices lose a pair with less than MISS; fewer, larger blocks in more partitions make more
+    signatures and fewer chance meetings, which pays the more the larger the collection is.
+    `differences` are symmetric differences of pairs drawn from it.
+    """
+    best = None
+    for partitions in range(1, MOST_PARTITIONS + 1):
+        k = blocks_for(d, partitions)
+        meet = min(1.0, partitions * k * float(np.mean((1 - 1 / k) ** differences))) if len(differences) else 0.0
+        work = forms * partitions * k * _ROW_COST + forms**2 / 2 * meet * _PAIR_COST
+        if best is None or work < best[0]:
+            best = (work, k, partitions)
+    return best[1], best[2]
+
+
 @cache
 def band_edges(threshold: float, upto: int = 1 << 20) -> tuple[int, ...]:
     edges = [1]
@@ -80,23 +101,24 @@ def _codes(text: bytes) -> np.ndarray:
 def _tables(partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fixed pseudo-random hash tables over the universe: place of the block, 64-bit hash, bit of the sketch."""
     rng = np.random.Generator(np.random.PCG64(20240229))
-    place = rng.random((partitions, UNIVERSE), dtype=np.float32)
+    place = rng.random((partitions, UNIVERSE), dtype=np.float32).astype(np.float32)
     mix = rng.integers(1, 1 << 63, (partitions, UNIVERSE), dtype=np.int64).view(np.uint64)
     return place, mix, rng.integers(0, 192, UNIVERSE)
 
 
 def _sketches(owner: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
-    bit = _tables(PARTITIONS)[2][codes]
+    bit = _tables(MOST_PARTITIONS)[2][codes]
     out = np.zeros((n, 3), np.uint64)
     np.bitwise_xor.at(out, (owner, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
     return out
 
 
-def _signatures(threshold: float):
+def _signatures(threshold: float, forms: int, unlike: np.ndarray):
     edges = np.array(band_edges(threshold))
+    plans: dict[int, tuple[int, int]] = {}
 
     def emit(batches):
-        place, mix, _ = _tables(PARTITIONS)
+        place, mix, _ = _tables(MOST_PARTITIONS)
         for batch in batches:
             ids = batch.column("form").to_numpy()
             sets = [_codes(t.encode()) for t in batch.column("plain").to_pylist()]
@@ -114,12 +136,14 @@ def _signatures(threshold: float):
                 if not len(rows):
                     continue
                 d = math.floor((1 - threshold) / (1 + threshold) * 2 * upper + 1e-9)
-                k = blocks_for(d)
+                if level not in plans:
+                    plans[level] = partitioning(d, forms, unlike * (int(edges[level]) + upper))
+                k, partitions = plans[level]
                 number = np.full(len(sets), -1)
                 number[rows] = np.arange(len(rows))
                 mine = here[owner]
                 o, c = number[owner[mine]], codes[mine]
-                for r in range(PARTITIONS):
+                for r in range(partitions):
                     key = np.zeros(len(rows) * k, np.uint64)
                     np.bitwise_xor.at(key, o * k + (place[r][c] * k).astype(np.int64), mix[r][c])
                     salt = (np.arange(k, dtype=np.uint64) + np.uint64(1000 * r + 100000 * int(level) + 1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -322,7 +346,9 @@ def similar_forms(members: DataFrame, threshold: float = 0.65, tile: int = 4096)
     both are compared as that number's texts, so a collision can add a pair but not lose one.
     """
     forms = members.select("form", "plain").dropDuplicates(["form"])
-    signatures = forms.mapInArrow(_signatures(threshold), SIGNATURE)
+    drawn = [_codes(r[0].encode()) for r in forms.select("plain").limit(_DRAWN).collect()]
+    unlike = np.array([1 - 2 * len(np.intersect1d(a, b, assume_unique=True)) / (len(a) + len(b)) for i, a in enumerate(drawn) for b in drawn[:i]])
+    signatures = forms.mapInArrow(_signatures(threshold, members.count(), unlike), SIGNATURE)
     met = materialise(
         signatures.repartition("key").sortWithinPartitions("key").mapInArrow(_join(threshold, tile), DEFERRED), "parity"
     )
