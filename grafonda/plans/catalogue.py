@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grafonda.plans import graph_queries, retrieval_queries, text_queries  # noqa: F401  each module registers its queries
+from grafonda.plans import graph_queries, retrieval_queries, state_queries, text_queries  # noqa: F401  each module registers its queries
 from grafonda.plans.kg import REGISTRY
 
 
