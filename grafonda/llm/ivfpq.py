@@ -347,6 +347,7 @@ def neighbour_pairs(neighbours: DataFrame, vectors: DataFrame) -> DataFrame:
     edges = (
         neighbours.select("n", F.explode("top").alias("t"))
         .select(F.least("n", "t.n").alias("a"), F.greatest("n", "t.n").alias("b"), (-F.col("t.d")).alias("cosine"))
+        .repartition("a")  # pairs are grouped and the first name is joined where they then are
         .groupBy("a", "b")
         .agg(F.max("cosine").alias("cosine"))
     )
