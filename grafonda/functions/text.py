@@ -26,6 +26,11 @@ def any_match(column: Column, patterns) -> Column:
     return reduce(lambda a, b: a | b, [column.rlike(bounded(p)) for p in patterns])
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once; inside a lambda an expression would run once per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(column: Column) -> Column:
     """White space runs of any kind as one blank, none at the ends."""
     return F.trim(F.regexp_replace(column, r"[\s\p{Z}]+", " "))
@@ -33,10 +38,14 @@ def collapse(column: Column) -> Column:
 
 def windows(column: Column, size: int = 900, overlap: int = 120) -> Column:
     """array<string>: fixed windows over the collapsed text; the last one is the first to reach the end."""
-    text, step = collapse(column), size - overlap
-    n = F.length(text)
-    count = F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.substring(text, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    step = size - overlap
+
+    def cut(text):
+        n = F.length(text)
+        last = F.greatest(F.ceil((n - size) / step).cast("int"), F.lit(0))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    return let(collapse(column), cut)
 
 
 def paragraphs(column: Column, least: int = 50) -> Column:
@@ -61,8 +70,13 @@ def simple_names(column: Column, most: int = 25) -> Column:
     """array<string>: runs of capitalised ASCII words of 3 or more characters, the first spelling of each, at most `most`."""
     found = F.regexp_extract_all(doubled_limits(column), F.lit(r"(?:^|[^\p{L}\p{N}_])" + _CAPITALISED + r"(?:$|[^\p{L}\p{N}_])"), 1)
     names = F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"(\s)\s", "$1")), lambda x: F.length(x) >= 3)
-    first = F.filter(names, lambda x, i: F.array_position(F.transform(names, lambda y: F.lower(y)), F.lower(x)) == i + 1)
-    return F.slice(first, 1, most)
+    none = F.array().cast("array<string>")
+
+    def keep(state, x):
+        new = (F.size(state["names"]) < most) & ~F.array_contains(state["keys"], F.lower(x))
+        return F.when(new, F.struct(F.array_append(state["names"], x).alias("names"), F.array_append(state["keys"], F.lower(x)).alias("keys"))).otherwise(state)
+
+    return F.aggregate(names, F.struct(none.alias("names"), none.alias("keys")), keep, lambda state: state["names"])
 
 
 def wikilinks(column: Column) -> Column:
@@ -83,8 +97,7 @@ def wikilinks(column: Column) -> Column:
         F.filter(cut, lambda s: F.length(s["t"]) > 0),
         lambda s: F.struct(F.replace(F.concat(F.upper(F.substring(s["t"], 1, 1)), F.substring(s["t"], F.lit(2), F.length(s["t"]))), F.lit("_"), F.lit(" ")).alias("target"), s["display"].alias("display")),
     )
-    keys = F.transform(named, lambda s: F.lower(s["target"]))
-    return F.filter(named, lambda s, i: F.array_position(keys, F.lower(s["target"])) == i + 1)
+    return let(named, lambda all_: let(F.transform(all_, lambda s: F.lower(s["target"])), lambda keys: F.filter(all_, lambda s, i: F.array_position(keys, F.lower(s["target"])) == i + 1)))
 
 
 def strip_markup(column: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grafonda.functions.text import answer_bare, answer_spaced, terms
+from grafonda.functions.text import answer_bare, answer_spaced, let, terms
 
 
 def reciprocal_rank(retrieved: Column, gold: Column) -> Column:
@@ -31,8 +31,7 @@ def _tokens(text: Column) -> Column:
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:
-    p = answer_spaced(prediction)
-    return F.exists(golds, lambda g: answer_spaced(g) == p)
+    return let(answer_spaced(prediction), lambda p: F.exists(golds, lambda g: answer_spaced(g) == p))
 
 
 def _f1(overlap: Column, n_pred: Column, n_gold: Column) -> Column:
@@ -42,13 +41,14 @@ def _f1(overlap: Column, n_pred: Column, n_gold: Column) -> Column:
 
 def token_f1(prediction: Column, golds: Column) -> Column:
     """Best F1 over the golds; predicted tokens count as often as they stand, gold tokens once."""
-    p = _tokens(prediction)
 
-    def one(g):
-        gold = F.array_distinct(_tokens(g))
-        return _f1(F.size(F.filter(p, lambda t: F.array_contains(gold, t))), F.size(p), F.size(_tokens(g)))
+    def best(p):
+        def one(g):
+            return let(_tokens(g), lambda t: _f1(F.size(F.filter(p, lambda x: F.array_contains(t, x))), F.size(p), F.size(t)))
 
-    return F.coalesce(F.array_max(F.transform(golds, one)), F.lit(0.0))
+        return F.coalesce(F.array_max(F.transform(golds, one)), F.lit(0.0))
+
+    return let(_tokens(prediction), best)
 
 
 def set_f1(prediction: Column, gold: Column) -> Column:
@@ -67,12 +67,16 @@ def context_overlap(context: Column, gold_context: Column) -> Column:
 def answer_in_context(golds: Column, contexts: Column, least: float = 0.6) -> Column:
     """Rank of the first context holding `least` of an answer's tokens, gold by gold; 0 if none."""
 
-    def rank_of(g):
-        want = F.array_distinct(F.filter(F.split(answer_bare(g), " "), lambda t: t != ""))
-        fits = F.transform(contexts, lambda c, i: F.when(F.try_divide(F.size(F.array_intersect(want, F.split(answer_bare(c), " "))), F.size(want)) >= least, i + 1))
-        return F.array_min(F.filter(fits, lambda r: r.isNotNull()))
+    def over(split):
+        def rank_of(g):
+            def fits(want):
+                return F.array_min(F.transform(split, lambda c, i: F.when(F.try_divide(F.size(F.array_intersect(want, c)), F.size(want)) >= least, i + 1)))
+
+            return let(F.array_distinct(F.filter(F.split(answer_bare(g), " "), lambda t: t != "")), fits)
+
+        return F.coalesce(F.get(F.filter(F.transform(golds, rank_of), lambda r: r.isNotNull()), F.lit(0)), F.lit(0))
 
-    return F.coalesce(F.get(F.filter(F.transform(golds, rank_of), lambda r: r.isNotNull()), 0), F.lit(0))
+    return let(F.transform(contexts, lambda c: F.split(answer_bare(c), " ")), over)
 
 
 def faithfulness(answer: Column, contexts: Column) -> Column:
