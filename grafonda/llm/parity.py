@@ -163,7 +163,7 @@ def _signatures(threshold: float, forms: int, unlike: np.ndarray):
 SIGNATURE = "key long, form long, n int, own boolean, s0 long, s1 long, s2 long"
 
 
-_SMALL, _CHUNK = 16, 512
+_SMALL, _CHUNK = 16, 256
 
 
 def _kept(i, j, far, form, n, own, threshold):
@@ -175,11 +175,13 @@ def _kept(i, j, far, form, n, own, threshold):
 
 
 def _block(left: slice, right: slice, form, n, own, s, threshold):
-    """Row pairs of two stretches by whole matrices of sketch distances; one bound for all first, then each pair's own."""
+    """Row pairs of two stretches, each ascending in size, by whole matrices of sketch distances; one bound for all first, then each pair's own."""
+    if min(n[left.stop - 1], n[right.stop - 1]) < threshold * max(n[left.start], n[right.start]):  # sizes too unlike
+        return form[:0], form[:0]
     far = np.bitwise_count(s[0][left, None] ^ s[0][None, right])
     far += np.bitwise_count(s[1][left, None] ^ s[1][None, right])
     far += np.bitwise_count(s[2][left, None] ^ s[2][None, right])
-    most = int((1 - threshold) / (1 + threshold) * (int(n[left].max()) + int(n[right].max())) + 1e-9)
+    most = int((1 - threshold) / (1 + threshold) * (int(n[left.stop - 1]) + int(n[right.stop - 1])) + 1e-9)
     i, j = np.nonzero(far <= min(most, 255))
     near = far[i, j]
     i, j = i + left.start, j + right.start
@@ -193,7 +195,7 @@ def _arrays(batch: pa.RecordBatch):
 
 
 def _join(threshold: float, tile: int):
-    """Rows arrive sorted by key. Pairs of small groups come out as (a, b); rows of a group over `tile` come out deferred."""
+    """Rows arrive sorted by key and size. Pairs of small groups come out as (a, b); rows of a group over `tile` come out deferred."""
 
     def pairs(a, b):
         return pa.RecordBatch.from_arrays(
@@ -271,7 +273,7 @@ def _tiles(threshold: float):
     import pandas as pd
 
     def compare(both: pd.DataFrame) -> pd.DataFrame:
-        both = both.sort_values("right", kind="stable")
+        both = both.sort_values(["right", "n"], kind="stable")
         split, size = int((~both["right"]).sum()), len(both)
         form, n, own = (both[c].to_numpy() for c in ("form", "n", "own"))
         s = [np.ascontiguousarray(both[f"s{w}"].to_numpy(np.int64)).view(np.uint64) for w in range(3)]
@@ -350,7 +352,7 @@ def similar_forms(members: DataFrame, threshold: float = 0.65, tile: int = 4096)
     unlike = np.array([1 - 2 * len(np.intersect1d(a, b, assume_unique=True)) / (len(a) + len(b)) for i, a in enumerate(drawn) for b in drawn[:i]])
     signatures = forms.mapInArrow(_signatures(threshold, members.count(), unlike), SIGNATURE)
     met = materialise(
-        signatures.repartition("key").sortWithinPartitions("key").mapInArrow(_join(threshold, tile), DEFERRED), "parity"
+        signatures.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_join(threshold, tile), DEFERRED), "parity"
     )
     near = met.where(F.col("b").isNotNull()).select("a", "b").union(_deferred_pairs(met.where(F.col("b").isNull()), threshold)).distinct()
     return (
