@@ -12,9 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def visible_to_workers(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it, if it is not on their path already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
+    return spark
+
+
 def local_session(name: str = "grafonda", cpus: str | int = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
-    return (
+    return visible_to_workers(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -30,7 +40,7 @@ def local_session(name: str = "grafonda", cpus: str | int = "*", partitions: int
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a directory; columns and filters are pushed into this scan by Catalyst."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return visible_to_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,7 +71,7 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     The plan above starts from files that survive the loss of any executor, with known sizes
     and prunable columns. The table is removed when the driver's Python ends.
     """
-    spark = df.sparkSession
+    spark = visible_to_workers(df.sparkSession)
     path = f"{shared_dir(spark)}/grafonda/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
