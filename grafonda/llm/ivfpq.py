@@ -169,6 +169,19 @@ def _matrix(column, kind, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(-1, width)
 
 
+def _best_first(who: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Order by `who`, then descending score: both in one 64-bit number, which sorts far faster than two keys."""
+    bits = np.ascontiguousarray(score, np.float32).view(np.int32)
+    rising = np.where(bits < 0, bits ^ np.int32(0x7FFFFFFF), bits).astype(np.int64)
+    return np.argsort((who.astype(np.int64) << 32) | (0x7FFFFFFF - rising))
+
+
+def _place(who: np.ndarray) -> np.ndarray:
+    """Place of each row within its run of equal values."""
+    first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
+    return np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)]))
+
+
 def _answer(index: Index, probes: int, k: int, rerank: int):
     """Best k of a slice of one cell for every query that visits it."""
     subspaces, _, part = index.codebooks.shape
@@ -192,7 +205,7 @@ def _answer(index: Index, probes: int, k: int, rerank: int):
             rows = asks[at : at + 1024]
             q = x[rows]
             goes = place[nearest(q, index.centroids, min(probes, len(index.centroids)))]
-            table_of = np.stack([q[:, m * part : (m + 1) * part] @ index.codebooks[m].T for m in range(subspaces)], 1)
+            table_of = [q[:, m * part : (m + 1) * part] @ index.codebooks[m].T for m in range(subspaces)]
             coarse = q @ index.centroids[present].T
             who, what, score = [], [], []
             ask, col = np.nonzero(goes >= 0)
@@ -208,7 +221,7 @@ def _answer(index: Index, probes: int, k: int, rerank: int):
                 c = codes[members]
                 s = np.repeat(coarse[mine, p][:, None], len(members), 1)
                 for m in range(subspaces):
-                    s += table_of[mine, m][:, c[:, m]]
+                    s += np.take(table_of[m][mine], c[:, m], axis=1)
                 if len(members) > per_list:
                     top = np.argpartition(s, len(members) - per_list, axis=1)[:, -per_list:]
                     s, chosen = np.take_along_axis(s, top, 1), members[top]
@@ -220,18 +233,17 @@ def _answer(index: Index, probes: int, k: int, rerank: int):
             if not who:
                 continue
             who, what, score = np.concatenate(who), np.concatenate(what), np.concatenate(score)
-            by = np.lexsort((-score, who))
+            by = _best_first(who, score)
             who, what = who[by], what[by]
-            head = np.searchsorted(who, who)
-            keep = np.arange(len(who)) - head < rerank
+            keep = _place(who) < rerank
             who, what = who[keep], what[keep]
             exact = np.einsum("ij,ij->i", q[who], base[what])
             other = number[indexed[what]]
             use = other != number[rows[who]]
             who, other, exact = who[use], other[use], exact[use]
-            by = np.lexsort((other, -exact, who))
+            by = _best_first(who, exact)
             who, other, exact = who[by], other[by], exact[by]
-            keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+            keep = _place(who) < k
             asked.append(number[rows[who[keep]]]), best_n.append(other[keep]), best_s.append(exact[keep])
         asked = np.concatenate(asked) if asked else np.zeros(0, np.int64)
         best_n = np.concatenate(best_n) if best_n else np.zeros(0, np.int64)
@@ -310,7 +322,7 @@ def most_similar(
     Of an id given several times only the row with the latest time counts, and only if it holds `dim`
     finite numbers that are not all zero; ids null, vectors null, empty, of another length, zero or
     with NaN are neither asked nor found. Equal vectors under different ids are neighbours of each
-    other with cosine 1, ties go to the smaller number. Fewer than k other vectors give fewer
+    other with cosine 1; of equal cosines at the end of a list some are taken, the same ones on every run. Fewer than k other vectors give fewer
     neighbours; an empty table gives none. Other columns are ignored.
     """
     spark = rows.sparkSession
