@@ -1,11 +1,14 @@
-"""The k most similar vectors of every vector: an inverted file with product-quantised residuals.
-
-* Coarse centroids and residual codebooks are fitted on the driver to a bounded sample
-  (``sample_per_list`` vectors a list, at most ``max_sample``); every vector is then indexed.
-* A vector's residual to its centroid is kept as ``subspaces`` one-byte codes. A query's inner
-  products with all codewords form its asymmetric distance table, so the score of an indexed vector
-  is the query's product with the centroid plus one table entry per code.
-* The best candidates of the ``probes`` nearest lists are ranked again by the exact cosine.
+"""The k most similar vectors of every vector: an inverted file whose lists are searched exactly.
+
+* Centroids are fitted on the driver to a bounded sample (``sample_per_list`` vectors a list, at
+  most ``max_sample``); every vector is then indexed in the list of its nearest centroid.
+* A query visits the lists nearest to it, and as many of them as its surroundings need: the
+  true k nearest of ``asks`` sampled vectors are found among all vectors, and the lists around a
+  place are visited to the rank that holds ``cover`` of them there (``probes`` at least). Where many
+  vectors lie close together without being equal that is most of the lists they fill.
+* All vectors of a visited list are scored by their exact cosine in one matrix product. Quantised
+  codes and a bounded number of reranked candidates would lose the true ones in such places, where
+  codes hardly differ, and their look-ups take longer than the product.
 
 Lists are gathered to cells of neighbouring centroids, about ``cell_rows`` vectors each, so that a
 query's lists lie in few cells: the vectors of a cell answer from where they are and only travel to
@@ -30,11 +33,11 @@ from grafonda.session import materialise
 
 @dataclass
 class Index:
-    """Bounded model data: centroids (lists x dim), codebooks (subspaces x 256 x dim/subspaces), cell of each list."""
+    """Bounded model data: centroids (lists x dim), cell of each list, lists that a query at home in each list visits."""
 
     centroids: np.ndarray
-    codebooks: np.ndarray
     cells: np.ndarray
+    reach: np.ndarray
 
     @property
     def dim(self) -> int:
@@ -70,16 +73,93 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     return centres.astype(np.float32)
 
 
-def fit(sample: np.ndarray, lists: int, cells: int, subspaces: int, seed: int = 11) -> Index:
+def fit(sample: np.ndarray, lists: int, cells: int, seed: int = 11) -> Index:
     rng = np.random.default_rng(seed)
-    dim = sample.shape[1]
     centroids = kmeans(sample, lists, 10, rng)
-    residual = sample - centroids[nearest(sample, centroids)[:, 0]]
-    part = dim // subspaces
-    some = residual[rng.permutation(len(residual))[:8192]]
-    books = np.stack([kmeans(np.ascontiguousarray(some[:, m * part : (m + 1) * part]), 256, 8, rng) for m in range(subspaces)])
     of = nearest(centroids, kmeans(centroids, cells, 15, rng))[:, 0] if cells > 1 else np.zeros(lists, np.int32)
-    return Index(centroids, books, of)
+    return Index(centroids, of, np.ones(lists, np.int64))
+
+
+def reach(index: Index, x: np.ndarray, ask: np.ndarray, found: np.ndarray, probes: int, cover: float) -> np.ndarray:
+    """Lists to visit from each list: up to the rank that holds `cover` of the true nearest of the asking vectors around it.
+
+    `found` is the list of one of the nearest of vector `ask`. Counts are doubled from `probes` up
+    until they suffice, so that there are few different ones.
+    """
+    lists = len(index.centroids)
+    half = (index.centroids**2).sum(1) / 2
+    home, rank = np.zeros(len(ask), np.int64), np.zeros(len(ask), np.int64)
+    for at in range(0, len(ask), 1024):
+        far = half - x[ask[at : at + 1024]] @ index.centroids.T
+        home[at : at + 1024] = far.argmin(1)
+        rank[at : at + 1024] = 1 + (far < np.take_along_axis(far, found[at : at + 1024, None], 1)).sum(1)
+    by = np.argsort(home, kind="stable")
+    ranks = np.split(rank[by], np.cumsum(np.bincount(home, minlength=lists))[:-1])
+    pool = min(lists, max(8, math.ceil(32 * lists / max(1, len(x)))))
+    needed = np.full(lists, probes, np.int64)
+    for i, around in enumerate(nearest(index.centroids, index.centroids, pool)):
+        if len(here := np.concatenate([ranks[j] for j in around])):
+            needed[i] = np.quantile(here, cover, method="higher")
+    doubled = np.ceil(np.log2(np.maximum(needed / probes, 1)))
+    return np.minimum(lists, probes * 2**doubled).astype(np.int64)
+
+
+def _true_nearest(x: np.ndarray, n: np.ndarray, k: int):
+    """(ask, ds, lists): of every asking vector the k most similar of a partition, with their lists; `n` ascends."""
+
+    def run(batches):
+        who, score, of = np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int32)
+        low = np.full(len(x), -2, np.float32)
+        for batch in batches:
+            vectors, lists, own = _matrix(batch.column("vector"), np.float32, x.shape[1]), batch.column("list").to_numpy(), batch.column("n").to_numpy()
+            for at in range(0, len(vectors), 512):
+                s = x @ vectors[at : at + 512].T
+                place = np.minimum(np.searchsorted(n, own[at : at + 512]), len(n) - 1)
+                itself = np.flatnonzero(n[place] == own[at : at + 512])
+                s[place[itself], itself] = -2
+                row, col = np.nonzero(s > low[:, None])
+                who, score, of = np.r_[who, row], np.r_[score, s[row, col]], np.r_[of, lists[at + col]]
+                by = _best_first(who, score)
+                by = by[_place(who[by]) < k]
+                who, score, of = who[by], score[by], of[by]
+                count = np.bincount(who, minlength=len(x))
+                full = count == k
+                low[full] = score[np.cumsum(count)[full] - 1]
+        if len(who):
+            edge = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            offsets = pa.array(np.r_[edge, len(who)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(who[edge]), *(pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (-score, of))], names=["ask", "ds", "lists"])
+
+    return run
+
+
+def _measured_reach(vectors: DataFrame, index: Index, total: int, asks: int, k: int, probes: int, cover: float) -> np.ndarray:
+    some = vectors.select("n", "vector").sample(min(1.0, asks / max(total, 1)), 23).toArrow().sort_by("n")
+    n, x = some.column("n").to_numpy(), _matrix(some.column("vector"), np.float32, index.dim) if len(some) else np.zeros((0, index.dim), np.float32)
+    if not len(n) or len(index.centroids) <= probes:
+        return np.full(len(index.centroids), min(probes, len(index.centroids)), np.int64)
+    shared = vectors.sparkSession.sparkContext.broadcast((x, n))
+    each = vectors.select("n", "list", "vector").mapInArrow(lambda batches: _true_nearest(*shared.value, k)(batches), "ask long, ds array<float>, lists array<int>")
+    zipped = F.arrays_zip(F.flatten(F.collect_list("ds")).alias("d"), F.flatten(F.collect_list("lists")).alias("l"))
+    best = each.groupBy("ask").agg(F.slice(F.sort_array(zipped), 1, k).alias("top")).select("ask", F.explode("top.l").alias("l")).toArrow()
+    return reach(index, x, best.column("ask").to_numpy(), best.column("l").to_numpy().astype(np.int64), probes, cover)
+
+
+def probed(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list): the lists that each row visits."""
+    half = (index.centroids**2).sum(1) / 2
+    row, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(x), 4096):
+        far = half - x[at : at + 4096] @ index.centroids.T
+        reach = index.reach[far.argmin(1)]
+        for count in np.unique(reach):
+            mine = np.flatnonzero(reach == count)
+            if count < len(index.centroids):
+                lists = np.argpartition(far[mine], count - 1, axis=1)[:, :count]
+            else:
+                lists = np.broadcast_to(np.arange(count), (len(mine), count))
+            row.append(np.repeat(at + mine, count)), of.append(lists.ravel())
+    return np.concatenate(row), np.concatenate(of)
 
 
 def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,17 +176,14 @@ def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _encode(index: Index):
     def run(batches):
-        subspaces, part = index.codebooks.shape[0], index.codebooks.shape[2]
         for batch in batches:
             rows, x = unit_vectors(batch.column("vector"), index.dim)
             if not len(rows):
                 continue
             home = nearest(x, index.centroids)[:, 0]
-            residual = x - index.centroids[home]
-            codes = np.concatenate([nearest(np.ascontiguousarray(residual[:, m * part : (m + 1) * part]), index.codebooks[m]) for m in range(subspaces)], 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rows)), pa.array(home), pa.array(index.cells[home]), _binary(x), _binary(codes.astype(np.uint8))],
-                names=["id", "list", "cell", "vector", "code"],
+                [batch.column("id").take(pa.array(rows)), pa.array(home), pa.array(index.cells[home]), _binary(x)],
+                names=["id", "list", "cell", "vector"],
             )
 
     return run
@@ -138,22 +215,22 @@ def _vectors(column, dim: int) -> np.ndarray:
     return x
 
 
-def _visits(index: Index, probes: int):
+def _visits(index: Index):
     """One row per (vector, other cell that it probes)."""
 
     def run(batches):
-        probes_here = min(probes, len(index.centroids))
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column("vector"), np.float32, index.dim)
-            cells = index.cells[nearest(x, index.centroids, probes_here)]
             home = batch.column("cell").to_numpy()
-            ordered = np.sort(cells, 1)
-            first = np.c_[np.ones(len(x), bool), ordered[:, 1:] != ordered[:, :-1]] & (ordered != home[:, None])
-            row, col = np.nonzero(first)
+            cells = int(index.cells.max()) + 1
+            row, of = probed(x, index)
+            row, col = np.divmod(np.unique(row * cells + index.cells[of]), cells)
+            other = col != home[row]
+            row, col = row[other], col[other].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ordered[row, col]), batch.column("n").take(pa.array(row)), _narrow(x).take(pa.array(row))],
+                [pa.array(col), batch.column("n").take(pa.array(row)), _narrow(x).take(pa.array(row))],
                 names=["cell", "n", "vector"],
             )
 
@@ -182,10 +259,9 @@ def _place(who: np.ndarray) -> np.ndarray:
     return np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)]))
 
 
-def _answer(index: Index, probes: int, k: int, rerank: int):
+def _answer(index: Index, k: int):
     """Best k of a slice of one cell for every query that visits it."""
-    subspaces, _, part = index.codebooks.shape
-    per_list = max(k, rerank)
+    most = k + 1  # the query itself may be among them
 
     def run(table: pa.Table) -> pa.Table:
         number = table.column("n").to_numpy()
@@ -194,22 +270,20 @@ def _answer(index: Index, probes: int, k: int, rerank: int):
         asks = np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
         base = x[indexed]
         lists = table.column("list").to_numpy(zero_copy_only=False)[indexed].astype(np.int64)
-        codes = _matrix(table.column("code").filter(table.column("indexed")), np.uint8, subspaces)
         order = np.argsort(lists, kind="stable")
         present, start = np.unique(lists[order], return_index=True)
         stop = np.r_[start[1:], len(order)]
         place = np.full(len(index.centroids), -1)
         place[present] = np.arange(len(present))
+        ordered = base[order]
         asked, best_n, best_s = [], [], []
         for at in range(0, len(asks), 1024):
             rows = asks[at : at + 1024]
             q = x[rows]
-            goes = place[nearest(q, index.centroids, min(probes, len(index.centroids)))]
-            table_of = [q[:, m * part : (m + 1) * part] @ index.codebooks[m].T for m in range(subspaces)]
-            coarse = q @ index.centroids[present].T
             who, what, score = [], [], []
-            ask, col = np.nonzero(goes >= 0)
-            of = goes[ask, col]
+            ask, of = probed(q, index)
+            of = place[of]
+            ask, of = ask[of >= 0], of[of >= 0]
             by = np.argsort(of, kind="stable")
             ask, of = ask[by], of[by]
             bounds = np.searchsorted(of, np.arange(len(present) + 1))
@@ -218,12 +292,9 @@ def _answer(index: Index, probes: int, k: int, rerank: int):
                 if not len(mine):
                     continue
                 members = order[start[p] : stop[p]]
-                c = codes[members]
-                s = np.repeat(coarse[mine, p][:, None], len(members), 1)
-                for m in range(subspaces):
-                    s += np.take(table_of[m][mine], c[:, m], axis=1)
-                if len(members) > per_list:
-                    top = np.argpartition(s, len(members) - per_list, axis=1)[:, -per_list:]
+                s = q[mine] @ ordered[start[p] : stop[p]].T
+                if len(members) > most:
+                    top = np.argpartition(s, len(members) - most, axis=1)[:, -most:]
                     s, chosen = np.take_along_axis(s, top, 1), members[top]
                 else:
                     chosen = np.broadcast_to(members, s.shape)
@@ -235,7 +306,7 @@ def _answer(index: Index, probes: int, k: int, rerank: int):
             who, what, score = np.concatenate(who), np.concatenate(what), np.concatenate(score)
             by = _best_first(who, score)
             who, what = who[by], what[by]
-            keep = _place(who) < rerank
+            keep = _place(who) < most
             who, what = who[keep], what[keep]
             exact = np.einsum("ij,ij->i", q[who], base[what])
             other = number[indexed[what]]
@@ -307,8 +378,8 @@ def most_similar(
     k: int = 10,
     dim: int = 64,
     probes: int = 8,
-    subspaces: int = 8,
-    rerank: int = 100,
+    asks: int = 4096,
+    cover: float = 0.99,
     list_rows: int = 256,
     cell_rows: int = 12000,
     max_lists: int = 16384,
@@ -331,28 +402,31 @@ def most_similar(
     sample = _sample(rows, vector_col, dim, min(max_sample, max(4096, lists * sample_per_list)), total)
     if not len(sample):
         sample = np.eye(1, dim, dtype=np.float32)
-    index = fit(sample, lists, max(1, min(lists, math.ceil(total / cell_rows))), subspaces)
+    index = fit(sample, lists, max(1, min(lists, math.ceil(total / cell_rows))))
     shared = spark.sparkContext.broadcast(index)
     lazy = lambda make, *a: (lambda batches: make(shared.value, *a)(batches))
     vectors = materialise(
         indexed_vectors(rows, id_col, vector_col, at_col)
-        .mapInArrow(lazy(_encode), "id string, list int, cell int, vector binary, code binary")
+        .mapInArrow(lazy(_encode), "id string, list int, cell int, vector binary")
         .withColumn("n", F.monotonically_increasing_id()),
         "vectors",
     )
-    visits = vectors.select("cell", "n", "vector").mapInArrow(lazy(_visits, probes), "cell int, n long, vector binary")
+    index = Index(index.centroids, index.cells, _measured_reach(vectors, index, total, asks, k, probes, cover))
+    shared_reach = spark.sparkContext.broadcast(index)
+    lazy = lambda make, *a: (lambda batches: make(shared_reach.value, *a)(batches))
+    visits = vectors.select("cell", "n", "vector").mapInArrow(lazy(_visits), "cell int, n long, vector binary")
     counts = lambda df: {r["cell"]: r["rows"] for r in df.groupBy("cell").agg(F.count("*").alias("rows")).collect()}  # noqa: E731  one row a cell
     held, visiting = counts(vectors), counts(visits)
     cut = {c: (math.ceil(n / slice_rows), math.ceil((n + visiting.get(c, 0)) / query_rows)) for c, n in held.items()}
     cut = {c: parts for c, parts in cut.items() if parts != (1, 1)}
-    both = vectors.select("cell", "n", "list", "vector", "code", F.lit(True).alias("indexed"), F.lit(True).alias("asks")).unionByName(
-        visits.withColumns({"list": F.lit(None).cast("int"), "code": F.lit(None).cast("binary"), "indexed": F.lit(False), "asks": F.lit(True)})
+    both = vectors.select("cell", "n", "list", "vector", F.lit(True).alias("indexed"), F.lit(True).alias("asks")).unionByName(
+        visits.withColumns({"list": F.lit(None).cast("int"), "indexed": F.lit(False), "asks": F.lit(True)})
     )
     both = _cut(both, cut)
     run = _answer
     answered = (
         both.groupBy("cell", "v", "q")
-        .applyInArrow(lambda table: run(shared.value, probes, k, rerank)(table), "n long, ds array<float>, ns array<long>")
+        .applyInArrow(lambda table: run(shared_reach.value, k)(table), "n long, ds array<float>, ns array<long>")
     )
     # two flat arrays travel in a third of the room of an array of structs
     zipped = F.arrays_zip(F.flatten(F.collect_list("ds")).alias("d"), F.flatten(F.collect_list("ns")).alias("n"))

@@ -52,3 +52,20 @@ def test_dirty_vectors(spark, tmp_path):
 
 def test_empty(spark):
     assert V.neighbour_pairs(*V.most_similar(table(spark, []))).count() == 0
+
+
+def test_recall_in_a_tight_group(spark):
+    """A third of the rows lie close together without being equal, in far more lists than a query visits elsewhere."""
+    rng = np.random.default_rng(5)
+    for noise in (0.5, 0.1):
+        x = rng.normal(size=(9000, 64))
+        x[:3000] = rng.normal(size=64) + noise * rng.normal(size=(3000, 64))
+        df = table(spark, [(f"c{i:05d}", v.tolist(), T0, 0, 0) for i, v in enumerate(x)])
+        nearest, vectors = V.most_similar(df, list_rows=64, cell_rows=2000)
+        name = {r["n"]: int(r["id"][1:]) for r in vectors.select("n", "id").collect()}
+        got = {name[r["n"]]: {name[t["n"]] for t in r["top"]} for r in nearest.collect()}
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        s = u[:3000] @ u.T
+        s[np.arange(3000), np.arange(3000)] = -2
+        top = np.argpartition(-s, 10, axis=1)[:, :10]
+        assert np.mean([j in got[i] for i in range(3000) for j in top[i]]) > 0.98
