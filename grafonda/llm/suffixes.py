@@ -7,7 +7,8 @@ the set's number as the leading symbol of every character so that no suffix matc
 Neighbours in the array with a common prefix of ``span`` characters or more form intervals; every
 evaluation and training suffix of one interval share a span, the spans are merged to the
 characters of the evaluation record that the training record covers, and pairs of sufficient cover
-are compared exactly.
+are compared exactly. Texts under twice ``span`` long, which can be alike without such a span, meet
+every text of the other side that shares three characters with them.
 
 A set with very many records is cut into slices per side and every slice pair is a unit of its own
 (``slice_rows`` per side), so that neither a task nor an interval grows with the set.
@@ -15,6 +16,8 @@ A set with very many records is cut into slices per side and every slice pair is
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -105,16 +108,41 @@ def shared_cover(texts: list[str], groups: np.ndarray, evaluation: np.ndarray, s
     return ids // len(texts), ids % len(texts), np.add.reduceat(width, start)
 
 
+def _grams(text: str) -> set[str]:
+    return {text[i : i + 3] for i in range(len(text) - 2)}
+
+
+def short_pairs(texts: list[str], groups: np.ndarray, evaluation: np.ndarray, least: int) -> set[tuple[int, int]]:
+    """Pairs (evaluation text, training text) of a group with three characters in common, one of them under `least` long."""
+    holders = defaultdict(list)
+    for i in (i for i, text in enumerate(texts) if len(text) < least):
+        for gram in _grams(texts[i]):
+            holders[groups[i], gram].append(i)
+    pairs = set()
+    for j in range(len(texts) if holders else 0):
+        for gram in _grams(texts[j]):
+            pairs.update((i, j) if evaluation[i] else (j, i) for i in holders.get((groups[j], gram), ()) if evaluation[i] != evaluation[j])
+    return pairs
+
+
+def gram_cover(text: str, other: str) -> int:
+    """Characters of `text` inside sequences of three that `other` holds as well."""
+    shared = _grams(other)
+    return len({i + k for i in range(len(text) - 2) if text[i : i + 3] in shared for k in range(3)})
+
+
 def _overlaps(threshold: float, span: int, cover: float, chars: int):
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = pdf["plain"].tolist()
         groups = pd.factorize(pd.MultiIndex.from_frame(pdf[["pages", "se", "st"]]))[0].astype(np.int64)
-        e, t, covered = shared_cover(texts, groups, pdf["evaluation"].to_numpy(bool), span)
-        sets = {i: _codes(texts[i].encode()) for i in set(e.tolist()) | set(t.tolist())}
+        evaluation = pdf["evaluation"].to_numpy(bool)
+        e, t, covered = shared_cover(texts, groups, evaluation, span)
+        pairs = {(i, j): c for i, j, c in zip(e.tolist(), t.tolist(), covered.tolist()) if c >= cover * len(texts[i])}
+        for i, j in short_pairs(texts, groups, evaluation, 2 * span) - pairs.keys():
+            pairs[i, j] = gram_cover(texts[i], texts[j])
+        sets = {i: _codes(texts[i].encode()) for i in {x for pair in pairs for x in pair}}
         rows = []
-        for i, j, c in zip(e.tolist(), t.tolist(), covered.tolist()):
-            if c < cover * len(texts[i]):
-                continue
+        for (i, j), c in pairs.items():
             shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             union = len(sets[i]) + len(sets[j]) - shared
             if shared * 10**6 >= round(threshold * 10**6) * union:
@@ -168,7 +196,7 @@ def cross_split_overlaps(
     """(train_id, eval_id, cover, similarity): records of either side alike over the same non-empty set of titles.
 
     ``cover`` is the share of the evaluation text's plain form inside spans that the training text
-    holds as well, ``similarity`` the Jaccard similarity of three-character sequences. Rows without
+    holds as well (spans of three characters where one text is short), ``similarity`` the Jaccard similarity of three-character sequences. Rows without
     an id, with a split other than those named (or null), without titles or with a plain form of
     under three characters are in no pair; repeated rows count once; an empty table gives no pair;
     texts are compared whole. An id that stands in both splits is not paired with itself.

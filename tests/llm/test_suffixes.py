@@ -61,3 +61,16 @@ def test_overlaps_by_brute_force(spark):
 
 def test_empty(spark):
     assert S.cross_split_overlaps(table(spark, [])).count() == 0
+
+
+def test_short_forms(spark):
+    """Forms shorter than the span, and short ones that are alike without a common span."""
+    texts = ["1954", "1954 年", "abc", "aaa", "aaaaaaa", "abcd", "abcde", "babab", "ababa", "abcab", "bcabc", "xyz", "1955"]
+    rows = [(f"{s}{i}", q, ["P"] if i != 2 else ["Q"], s, "s", "x", 1) for i, q in enumerate(texts) for s in ("train", "dev")]
+    rows.append(("other", "1954", ["Q"], "test", "s", "x", 1))
+    sets = {r[0]: set(_codes(plain(r[1]).encode()).tolist()) for r in rows}
+    true = {(a[0], b[0]) for a in rows for b in rows if a[3] == "train" and b[3] != "train" and a[2] == b[2] and len(sets[a[0]] & sets[b[0]]) * 100 >= 65 * len(sets[a[0]] | sets[b[0]])}
+    assert {("train0", "dev1"), ("train3", "dev4"), ("train5", "dev6"), ("train7", "dev8"), ("train9", "dev10")} <= true
+    got = S.cross_split_overlaps(table(spark, rows)).collect()
+    assert {(r["train_id"], r["eval_id"]) for r in got} == true
+    assert all(0 < r["cover"] <= 1 for r in got)
