@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_LOCAL: list[str] = []
 
 
 def visible_to_workers(spark: SparkSession) -> SparkSession:
@@ -44,13 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset, a fresh temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a fresh temporary folder; on a cluster each executor
+    would write to its own disk, so there it is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    made = f"file://{tempfile.mkdtemp(prefix='grafonda-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='grafonda-')}")
+        atexit.register(shutil.rmtree, _LOCAL[0].removeprefix("file://"), ignore_errors=True)
+    return _LOCAL[0]
 
 
 def _remove() -> None:
@@ -76,3 +85,9 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
     return spark.read.parquet(path)
+
+
+def released(spark: SparkSession) -> None:
+    """Removes every table written by `materialise` so far; for callers that know their results to be stored."""
+    _remove()
+    _WRITTEN.clear()
