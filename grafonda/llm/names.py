@@ -1,15 +1,21 @@
 """Variant spellings of names linked to the entities of a registry.
 
-Mentions are reduced to distinct forms before anything else. A *symmetric-delete index* over the
-registry's tokens (each token and what is left of it without one character) finds, for every distinct
-token of the mentions, the registry names that hold it within one edit; whole names run together are
-indexed likewise. Every token of a spelling belongs to the name it spells, so the two tokens of a
-form with the fewest names suffice to find every name that can explain all of them.
-
-Candidates are aligned by assigning the form's tokens to the name's tokens: equal tokens first, then
-the cheapest assignment of the rest, a token standing for a mistyped token, the beginning or initial
-of one, or the initials of several. What the form leaves out must be a kind of thing ("province"), a
-family name or a middle name. The best alignment wins if it is one entity's alone.
+Mentions and registry names are reduced to *forms* (plain tokens, the same with marks, and which were
+cut short by a full stop), and every distinct form is read once, as it stands and with titles taken
+off. Forms are settled in three steps, each over the forms that the steps before left open; the steps
+follow the order in which readings are preferred, so that a later step cannot change an earlier result.
+
+1. *Equal*: the same letters run together, or the same tokens in another order.
+2. *Mistyped*: a *symmetric-delete index* (what is left without one character) over whole names run
+   together, and over each token beside the sorted rest of its name, holds every name one edit away.
+3. *Shortened*: every such reading has one token in common with its name as written, so the index of
+   tokens finds it. Of the names that share a token only those are aligned which can explain all
+   other tokens but one (initials, abbreviations), or whose letters allow for two edits.
+
+Aligning assigns the form's tokens to the name's tokens: equal tokens first, then the cheapest
+assignment of the rest, a token standing for a mistyped token, a short form or nickname of one, or the
+initials of several. What the form leaves out must be a kind of thing ("province"), a family name or a
+middle name. The best alignment wins if it is one entity's alone.
 """
 
 from __future__ import annotations
@@ -18,8 +24,9 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grafonda.functions.plainform import plain
@@ -41,6 +48,15 @@ TITLES = tuple(
         "|tac pham|cuon|cuon sach|bai tho|tap tho|dong chi|vien bao tang|mr|mrs|ms|dr|prof"
     ).split("|")
 )
+# Given names and what people call them.
+NICKNAMES = {
+    "robert": "bob bobby rob robbie", "william": "bill billy will willie", "richard": "dick rick ricky rich", "james": "jim jimmy jamie", "john": "jack johnny", "michael": "mike mickey mick", "elizabeth": "liz lizzie beth betty eliza",
+    "margaret": "maggie meg peggy", "katherine": "kate katie kathy", "catherine": "kate cathy", "thomas": "tom tommy", "charles": "charlie chuck", "edward": "ed eddie ted ned", "joseph": "joe joey", "daniel": "dan danny", "david": "dave davy",
+    "christopher": "chris kit", "anthony": "tony", "andrew": "andy drew", "alexander": "alex sandy sasha", "alexandra": "alex sandra", "benjamin": "ben benny", "samuel": "sam sammy", "matthew": "matt", "nicholas": "nick", "patrick": "pat paddy",
+    "patricia": "pat patty trish", "jennifer": "jen jenny", "rebecca": "becky", "susan": "sue susie", "deborah": "deb debbie", "theodore": "ted teddy", "henry": "harry hank", "francis": "frank", "frederick": "fred freddie", "gerald": "gerry jerry",
+    "kenneth": "ken kenny", "lawrence": "larry", "leonard": "len lenny", "ronald": "ron ronnie", "steven": "steve", "stephen": "steve", "timothy": "tim", "victoria": "vicky tori", "walter": "walt wally", "dorothy": "dot dolly",
+}
+_CALLED = {(short, full) for full, shorts in NICKNAMES.items() for short in shorts.split()}
 _SPLIT = re.compile(r"[^\W_]+\.?")
 
 
@@ -57,6 +73,11 @@ def tokens_of(text: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[bool,
     return tuple(out), tuple(marked), tuple(short)
 
 
+def form_of(text: str) -> str:
+    """The form as text: tokens with marks, a full stop behind those cut short; reads back as the same tokens."""
+    return " ".join(m + "." if short else m for _, m, short in zip(*tokens_of(text)))
+
+
 def deletes(token: str) -> set[str]:
     """The token and what is left of it without one character (tokens of one character stay whole)."""
     return {token} | ({token[:i] + token[i + 1 :] for i in range(len(token))} if len(token) > 2 else set())
@@ -209,6 +230,8 @@ def _options(t: str, short: bool, free: list[str]):
             continue
         if (short or len(t) == 1) and len(t) < len(x) and x.startswith(t):
             out.append((0.2, 0, 1, (j,)))
+        elif (t, x) in _CALLED or _letters_of(t, x):
+            out.append((0.25, 0, 1, (j,)))
         elif len(x) >= 3 and len(t) >= 2 and abs(len(x) - len(t)) <= 1 and edits(t, x, 1) == 1:
             out.append((1.0, 1, 0, (j,)))
         elif len(x) >= 5 and len(t) >= 4 and edits(t, x, 2) == 2:
@@ -222,6 +245,14 @@ def _options(t: str, short: bool, free: list[str]):
     return out
 
 
+def _letters_of(t: str, x: str) -> bool:
+    """Whether t is a long word's beginning with letters left out behind it ("intl", "dept")."""
+    if not (3 <= len(t) <= len(x) // 2 and len(x) >= 8 and t[0] == x[0]):
+        return False
+    rest = iter(x)
+    return all(c in rest for c in t)
+
+
 def _assign(rest: list[tuple[str, bool]], free: list[str]):
     """Cheapest assignment of the remaining tokens to free name tokens, initials of runs included; two typing errors stay in order."""
     ways = [_options(t, short, free) for t, short in rest]
@@ -247,34 +278,112 @@ def _assign(rest: list[tuple[str, bool]], free: list[str]):
     return best[0], best[1], best[2], ["" if j in best[3] else x for j, x in enumerate(free)]
 
 
-def _read(batches):
-    """Token rows of distinct texts: the token and, for the text run together, one more with a mark in front."""
-    for batch in batches:
-        text, token, keys = [], [], []
-        for t in batch.column("text").to_pylist():
-            whole = tokens_of(t)
-            joined = {"=" + "".join(x) for x, _, _ in readings(*whole) if x}
-            for x in set(whole[0]) | joined:
-                text.append(t), token.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(token, pa.string())], names=["text", "token"])
-
-
-def _variants(batches):
-    for batch in batches:
-        token, key = [], []
-        for t in batch.column("token").to_pylist():
-            for k in deletes(t[1:] if t[0] == "=" else t):
-                token.append(t), key.append(("=" if t[0] == "=" else "") + k)
-        yield pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(key, pa.string())], names=["token", "key"])
-
-
-def _score(batches):
+def _forms(batches):
     for batch in batches:
-        tier, cost = [], []
-        for f, n in zip(batch.column("text").to_pylist(), batch.column("name").to_pylist()):
-            r = align(f, n)
-            tier.append(r[0] if r else None), cost.append(round(r[1], 3) if r else None)
-        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("entity"), pa.array(tier, pa.int32()), pa.array(cost, pa.float64())], names=["text", "entity", "tier", "cost"])
+        forms = [form_of(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(forms, pa.string())], names=["id", "form"])
+
+
+def _hashes(keys: list[str]) -> pa.Array:
+    import xxhash
+
+    return pa.array(np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, len(keys)).view(np.int64))
+
+
+def _equal_keys(titles: bool):
+    """(form, marks, key): the readings run together and in sorted order."""
+
+    def run(batches):
+        for batch in batches:
+            form, marks, keys = [], [], []
+            for f in batch.column("form").to_pylist():
+                whole = tokens_of(f)
+                for m, marked, _ in readings(*whole) if titles else [whole]:
+                    if m:
+                        spelt = " ".join(sorted(marked))
+                        for k in {"=" + "".join(m), "<" + " ".join(sorted(m))}:
+                            form.append(f), marks.append(spelt), keys.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(marks, pa.string()), _hashes(keys)], names=["form", "marks", "key"])
+
+    return run
+
+
+def _near_keys(titles: bool):
+    """(form, key): what one deletion leaves of the readings run together, and of each token beside the sorted others."""
+
+    def run(batches):
+        for batch in batches:
+            form, keys = [], []
+            for f in batch.column("form").to_pylist():
+                whole, mine = tokens_of(f), set()
+                for m, _, _ in readings(*whole) if titles else [whole]:
+                    mine.update("=" + d for d in deletes("".join(m)))
+                    for i, t in enumerate(m):
+                        if len(m) > 1 and len(t) > 1:
+                            others = " ".join(sorted(m[:i] + m[i + 1 :])) + "~"
+                            mine.update(others + d for d in deletes(t))
+                form += [f] * len(mine)
+                keys += mine
+            yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), _hashes(keys)], names=["form", "key"])
+
+    return run
+
+
+def _letters(word: str) -> int:
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) % 64)
+    return out - (1 << 64) if out >> 63 else out
+
+
+def _token_keys(titles: bool):
+    """(form, token, tokens, size, letters, firsts, initials): a row for every token a reading can have in common with another."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for f in batch.column("form").to_pylist():
+                whole = tokens_of(f)
+                for m, _, short in readings(*whole) if titles else [whole]:
+                    joined, initials = "".join(m), "".join(t[0] for t in m)
+                    shown = [t + "." if cut else t for t, cut in zip(m, short)] if titles else list(m)
+                    for t in set(m):
+                        rows.append((f, t, shown, len(joined), _letters(joined), _letters(initials), initials))
+            cols = list(zip(*rows)) if rows else [()] * 7
+            types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["form", "token", "tokens", "size", "letters", "firsts", "initials"])
+
+    return run
+
+
+def _aligned(tiers: tuple[int, ...]):
+    """(form, entity, tier) of forms with candidates (name, entity): the best alignment; no entity where several are as good, no row where none fits."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for form, some in zip(batch.column("form").to_pylist(), batch.column("candidates").to_pylist()):
+                best, who, tried = None, set(), {}
+                for c in some:
+                    name = c["name"]
+                    r = tried[name] if name in tried else tried.setdefault(name, align(form, name))
+                    if r is None or r[0] not in tiers:
+                        continue
+                    r = (r[0], round(r[1], 3))
+                    if best is None or r < best:
+                        best, who = r, {c["entity"]}
+                    elif r == best:
+                        who.add(c["entity"])
+                if best:
+                    out.append((form, next(iter(who)) if len(who) == 1 else None, best[0]))
+            cols = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], batch.column("candidates").type.value_type.field("entity").type), pa.array(cols[2], pa.int32())], names=["form", "entity", "tier"])
+
+    return run
+
+
+#: registry names up to which their indexes travel to the forms instead of meeting them in an exchange
+INDEX_BROADCAST = 100_000
 
 
 def registry_names(registry: DataFrame, id_col: str = "entity_id", name_col: str = "canonical_name", alias_col: str = "aliases") -> DataFrame:
@@ -291,7 +400,6 @@ def link_names(
     entity_col: str = "entity_id",
     name_col: str = "canonical_name",
     alias_col: str = "aliases",
-    tokens: int = 2,
 ) -> DataFrame:
     """(id, entity, tier): mentions with the one entity whose name or alias they spell.
 
@@ -300,29 +408,37 @@ def link_names(
     is linked by each of them; null or empty registry names are skipped; other columns are ignored;
     empty tables give no row.
     """
-    who = mentions.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).distinct()
-    who = materialise(who, "mentions")
-    texts = who.select("text").distinct()
-    names = materialise(registry_names(registry, entity_col, name_col, alias_col), "names")
-    name_tokens = names.select(F.col("name").alias("text")).distinct().mapInArrow(_read, "text string, token string")
-    held = name_tokens.groupBy("token").agg(F.count("*").alias("df")).select(F.col("token").alias("held"), "df")
-    index = held.select(F.col("held").alias("token")).mapInArrow(_variants, "token string, key string").withColumnRenamed("token", "held")
-    form_tokens = materialise(texts.mapInArrow(_read, "text string, token string"), "tokens")
-    asked = form_tokens.select("token").distinct()
-    known = asked.join(held, asked.token == held.held)
-    # tokens the registry does not hold, and whole names run together, are followed to all that one edit reaches
-    unknown = asked.where(F.col("token").startswith("=")).unionByName(asked.where((F.length("token") > 3) & ~F.col("token").startswith("=")).join(known.select("token"), "token", "left_anti"))
-    reached = unknown.mapInArrow(_variants, "token string, key string").join(index, "key").select("token", "held").distinct().join(held, "held")
-    near = materialise(known.where(~F.col("token").startswith("=")).select("token", "held", "df").unionByName(reached.select("token", "held", "df")), "near")
-    reach = near.groupBy("token").agg(F.sum("df").alias("df"))
-    # the text run together is always followed, of its tokens the rarest
-    by_rarity = Window.partitionBy("text", F.col("token").startswith("=")).orderBy("df", "token")
-    chosen = form_tokens.join(reach, "token").withColumn("r", F.row_number().over(by_rarity)).where((F.col("r") <= tokens) | F.col("token").startswith("=")).select("text", "token")
-    holders = name_tokens.select(F.col("token").alias("held"), F.col("text").alias("name"))
-    near = near.select("token", "held")
-    pairs = chosen.join(near, "token").join(holders, "held").select("text", "name").distinct().join(names, "name")
-    scored = pairs.select("text", "name", "entity").mapInArrow(_score, "text string, entity string, tier int, cost double").where("tier is not null")
-    best = scored.groupBy("text", "entity").agg(F.min(F.struct("tier", "cost")).alias("s"))
-    top = best.groupBy("text").agg(F.min("s").alias("s"))
-    single = best.join(top, ["text", "s"]).groupBy("text").agg(F.min("entity").alias("entity"), F.count("*").alias("n"), F.min("s.tier").alias("tier")).where("n = 1")
-    return who.join(single.select("text", "entity", "tier"), "text").select("id", "entity", "tier").distinct()
+    kind, key = mentions.schema[id_col].dataType.simpleString(), registry.schema[entity_col].dataType.simpleString()
+    shown = mentions.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    who = materialise(shown.mapInArrow(_forms, f"id {kind}, form string").where("form <> ''"), "mentions")
+    given = registry_names(registry, entity_col, name_col, alias_col).select(F.col("entity").alias("id"), F.col("name").alias("text"))
+    names = materialise(given.mapInArrow(_forms, f"id {key}, form string").where("form <> ''").select(F.col("form").alias("name"), F.col("id").alias("entity")).distinct(), "names")
+    small = names.limit(INDEX_BROADCAST + 1).count() <= INDEX_BROADCAST
+    near = F.broadcast if small else (lambda df: df)
+    spelt = names.select(F.col("name").alias("form")).distinct()
+    schema = f"form string, entity {key}, tier int"
+
+    forms = materialise(who.select("form").distinct(), "forms")
+    index = spelt.mapInArrow(_equal_keys(False), "form string, marks string, key long").select(F.col("form").alias("name"), F.col("marks").alias("name_marks"), "key").join(names, "name")
+    met = forms.mapInArrow(_equal_keys(True), "form string, marks string, key long").join(near(index), "key")
+    ways = met.groupBy("form").agg(F.array_sort(F.collect_set(F.struct(F.when(F.col("marks") == F.col("name_marks"), 0).otherwise(1).alias("cost"), "entity"))).alias("w"))
+    same = F.array_distinct(F.transform(F.filter("w", lambda x: x["cost"] == F.col("w")[0]["cost"]), lambda x: x["entity"]))
+    equal = materialise(ways.select("form", F.when(F.size(same) == 1, same[0]).alias("entity"), F.lit(EXACT).alias("tier")), "equal")
+
+    open_ = materialise(forms.join(equal.select("form"), "form", "left_anti"), "open")
+    index = spelt.mapInArrow(_near_keys(False), "form string, key long").select(F.col("form").alias("name"), "key").join(names, "name")
+    met = open_.mapInArrow(_near_keys(True), "form string, key long").join(near(index), "key").groupBy("form").agg(F.collect_set(F.struct("name", "entity")).alias("candidates"))
+    typed = materialise(met.mapInArrow(_aligned((TYPED,)), schema), "typed")
+
+    columns = "form string, token string, tokens array<string>, size int, letters long, firsts long, initials string"
+    index = spelt.mapInArrow(_token_keys(False), columns)
+    index = index.select(F.col("form").alias("name"), "token", F.col("tokens").alias("name_tokens"), F.col("size").alias("name_size"), F.col("letters").alias("name_letters"), F.col("firsts").alias("name_firsts"), F.col("initials").alias("name_initials")).join(names, "name")
+    left = open_.join(typed.select("form"), "form", "left_anti").mapInArrow(_token_keys(True), columns)
+    twice = (F.abs(F.col("size") - F.col("name_size")) <= 2) & (F.bit_count(F.col("letters").bitwiseXOR(F.col("name_letters"))) <= 4)
+    begun = F.bit_count(F.col("firsts").bitwiseAND(F.bitwise_not("name_firsts"))) <= 1
+    unexplained = F.filter("tokens", lambda t: (F.length(t) > 1) & ~t.endswith(".") & ~F.array_contains("name_tokens", t) & ~F.contains(F.col("name_initials"), t))
+    met = left.join(near(index), "token").where(twice | (begun & (F.size(unexplained) <= 1))).groupBy("form").agg(F.collect_set(F.struct("name", "entity")).alias("candidates"))
+    short = materialise(met.mapInArrow(_aligned((SHORT, TYPED_TWICE, LEFT_OUT)), schema), "short")
+
+    links = equal.unionByName(typed).unionByName(short).where("entity is not null")
+    return who.join(links, "form").select("id", "entity", "tier").distinct()
