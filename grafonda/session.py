@@ -87,6 +87,11 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
+    """Partitions for work that is heavy for its bytes, which size-based planning would put into too few tasks."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // per_task))
+
+
 def released(spark: SparkSession) -> None:
     """Removes every table written by `materialise` so far; for callers that know their results to be stored."""
     _remove()
