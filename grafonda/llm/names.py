@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grafonda.functions.plainform import plain
-from grafonda.session import materialise
+from grafonda.session import materialise, tasks_for
 
 # Words that say what kind of thing a name names (plain form).
 KINDS = tuple(
@@ -57,6 +57,7 @@ NICKNAMES = {
     "kenneth": "ken kenny", "lawrence": "larry", "leonard": "len lenny", "ronald": "ron ronnie", "steven": "steve", "stephen": "steve", "timothy": "tim", "victoria": "vicky tori", "walter": "walt wally", "dorothy": "dot dolly",
 }
 _CALLED = {(short, full) for full, shorts in NICKNAMES.items() for short in shorts.split()}
+_SHORTS = {short for short, _ in _CALLED}
 _SPLIT = re.compile(r"[^\W_]+\.?")
 
 
@@ -83,13 +84,35 @@ def deletes(token: str) -> set[str]:
     return {token} | ({token[:i] + token[i + 1 :] for i in range(len(token))} if len(token) > 2 else set())
 
 
+_ALL = (1 << 64) - 1
+
+
+@lru_cache(maxsize=500_000)
+def _letters(word: str) -> int:
+    """The letters of a word and, 32 bits higher, those it holds twice; one edit changes at most two of these bits."""
+    once = twice = 0
+    for c in word:
+        bit = 1 << (ord(c) & 31)
+        twice |= once & bit
+        once |= bit
+    out = once | twice << 32
+    return out - (1 << 64) if out >> 63 else out
+
+
 @lru_cache(maxsize=500_000)
 def edits(a: str, b: str, most: int = 2) -> int:
     """Optimal string alignment distance (insertions, deletions, substitutions, neighbour swaps), most + 1 if beyond."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or ((_letters(a) ^ _letters(b)) & _ALL).bit_count() > 2 * most:
         return most + 1
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     before: list[int] = []
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -134,9 +157,13 @@ EXACT, TYPED, SHORT, TYPED_TWICE, LEFT_OUT = range(5)
 
 def align(form: str, name: str) -> tuple[int, float] | None:
     """(tier, cost) of the best way to read `form` as `name`; None if there is none."""
+    return _best(readings(*tokens_of(form)), name)
+
+
+def _best(ways, name: str) -> tuple[int, float] | None:
     n, n_marked, _ = tokens_of(name)
     best = None
-    for m, marked, short in readings(*tokens_of(form)):
+    for m, marked, short in ways:
         found = _align(m, marked, short, n, n_marked)
         if found and (best is None or found < best):
             best = found
@@ -329,15 +356,8 @@ def _near_keys(titles: bool):
     return run
 
 
-def _letters(word: str) -> int:
-    out = 0
-    for c in word:
-        out |= 1 << (ord(c) % 64)
-    return out - (1 << 64) if out >> 63 else out
-
-
 def _token_keys(titles: bool):
-    """(form, token, tokens, size, letters, firsts, initials): a row for every token a reading can have in common with another."""
+    """(form, token, tokens, size, letters, written, firsts, initials): a row for every token a reading can have in common with another."""
 
     def run(batches):
         for batch in batches:
@@ -346,12 +366,14 @@ def _token_keys(titles: bool):
                 whole = tokens_of(f)
                 for m, _, short in readings(*whole) if titles else [whole]:
                     joined, initials = "".join(m), "".join(t[0] for t in m)
-                    shown = [t + "." if cut else t for t, cut in zip(m, short)] if titles else list(m)
+                    # a full stop says that a token may stand for one it does not resemble
+                    shown = [{"t": t + "." if titles and (cut or t in _SHORTS) else t, "l": _letters(t)} for t, cut in zip(m, short)]
+                    written = _letters("".join(x["t"] for x in shown if not x["t"].endswith(".")))
                     for t in set(m):
-                        rows.append((f, t, shown, len(joined), _letters(joined), _letters(initials), initials))
-            cols = list(zip(*rows)) if rows else [()] * 7
-            types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["form", "token", "tokens", "size", "letters", "firsts", "initials"])
+                        rows.append((f, t, shown, len(joined), _letters(joined), written, _letters(initials), initials))
+            cols = list(zip(*rows)) if rows else [()] * 8
+            types = [pa.string(), pa.string(), pa.list_(pa.struct([("t", pa.string()), ("l", pa.int64())])), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["form", "token", "tokens", "size", "letters", "written", "firsts", "initials"])
 
     return run
 
@@ -363,10 +385,10 @@ def _aligned(tiers: tuple[int, ...]):
         for batch in batches:
             out = []
             for form, some in zip(batch.column("form").to_pylist(), batch.column("candidates").to_pylist()):
-                best, who, tried = None, set(), {}
+                best, who, tried, ways = None, set(), {}, readings(*tokens_of(form))
                 for c in some:
                     name = c["name"]
-                    r = tried[name] if name in tried else tried.setdefault(name, align(form, name))
+                    r = tried[name] if name in tried else tried.setdefault(name, _best(ways, name))
                     if r is None or r[0] not in tiers:
                         continue
                     r = (r[0], round(r[1], 3))
@@ -418,7 +440,9 @@ def link_names(
     spelt = names.select(F.col("name").alias("form")).distinct()
     schema = f"form string, entity {key}, tier int"
 
-    forms = materialise(who.select("form").distinct(), "forms")
+    # reading and aligning forms is heavy for its bytes, so it is spread by rows
+    spread = lambda df, per_task: df.repartition(tasks_for(df.sparkSession, who.count(), per_task), "form")
+    forms = materialise(spread(who.select("form"), 100_000).distinct(), "forms")
     index = spelt.mapInArrow(_equal_keys(False), "form string, marks string, key long").select(F.col("form").alias("name"), F.col("marks").alias("name_marks"), "key").join(names, "name")
     met = forms.mapInArrow(_equal_keys(True), "form string, marks string, key long").join(near(index), "key")
     ways = met.groupBy("form").agg(F.array_sort(F.collect_set(F.struct(F.when(F.col("marks") == F.col("name_marks"), 0).otherwise(1).alias("cost"), "entity"))).alias("w"))
@@ -427,17 +451,25 @@ def link_names(
 
     open_ = materialise(forms.join(equal.select("form"), "form", "left_anti"), "open")
     index = spelt.mapInArrow(_near_keys(False), "form string, key long").select(F.col("form").alias("name"), "key").join(names, "name")
-    met = open_.mapInArrow(_near_keys(True), "form string, key long").join(near(index), "key").groupBy("form").agg(F.collect_set(F.struct("name", "entity")).alias("candidates"))
+    met = open_.mapInArrow(_near_keys(True), "form string, key long").join(near(index), "key")
+    met = spread(met.select("form", "name", "entity"), 20_000).groupBy("form").agg(F.collect_set(F.struct("name", "entity")).alias("candidates"))
     typed = materialise(met.mapInArrow(_aligned((TYPED,)), schema), "typed")
 
-    columns = "form string, token string, tokens array<string>, size int, letters long, firsts long, initials string"
+    columns = "form string, token string, tokens array<struct<t:string,l:long>>, size int, letters long, written long, firsts long, initials string"
     index = spelt.mapInArrow(_token_keys(False), columns)
     index = index.select(F.col("form").alias("name"), "token", F.col("tokens").alias("name_tokens"), F.col("size").alias("name_size"), F.col("letters").alias("name_letters"), F.col("firsts").alias("name_firsts"), F.col("initials").alias("name_initials")).join(names, "name")
     left = open_.join(typed.select("form"), "form", "left_anti").mapInArrow(_token_keys(True), columns)
-    twice = (F.abs(F.col("size") - F.col("name_size")) <= 2) & (F.bit_count(F.col("letters").bitwiseXOR(F.col("name_letters"))) <= 4)
-    begun = F.bit_count(F.col("firsts").bitwiseAND(F.bitwise_not("name_firsts"))) <= 1
-    unexplained = F.filter("tokens", lambda t: (F.length(t) > 1) & ~t.endswith(".") & ~F.array_contains("name_tokens", t) & ~F.contains(F.col("name_initials"), t))
-    met = left.join(near(index), "token").where(twice | (begun & (F.size(unexplained) <= 1))).groupBy("form").agg(F.collect_set(F.struct("name", "entity")).alias("candidates"))
+    twice = (F.col("name_size") >= 10) & (F.abs(F.col("size") - F.col("name_size")) <= 2) & (F.bit_count(F.col("letters").bitwiseXOR(F.col("name_letters"))) <= 4)
+    # of the letters written out, one edit brings in one that the name does not have
+    begun = (F.bit_count(F.col("written").bitwiseAND(F.bitwise_not("name_letters"))) <= 1) & (F.bit_count(F.col("firsts").bitwiseAND(F.bitwise_not("name_firsts"))) <= 1)
+    long_ = lambda t: F.exists("name_tokens", lambda x: (F.length(x["t"]) >= 8) & x["t"].startswith(F.substring(t, 1, 1)))
+    plain_names = F.transform("name_tokens", lambda x: x["t"])
+    unexplained = F.filter("tokens", lambda x: (F.length(x["t"]) > 1) & ~x["t"].endswith(".") & ~F.array_contains(plain_names, x["t"]) & ~F.contains(F.col("name_initials"), x["t"]) & ~long_(x["t"]))
+    # one token may be mistyped, beside two others: one edit changes at most two letters of its set
+    resembles = F.exists("name_tokens", lambda y: F.bit_count(y["l"].bitwiseXOR(unexplained[0]["l"])) <= 2)
+    covered = (F.size(unexplained) == 0) | ((F.size(unexplained) == 1) & (F.size("tokens") >= 3) & resembles)
+    met = left.join(near(index), "token").where(twice | (begun & covered))
+    met = spread(met.select("form", "name", "entity"), 20_000).groupBy("form").agg(F.collect_set(F.struct("name", "entity")).alias("candidates"))
     short = materialise(met.mapInArrow(_aligned((SHORT, TYPED_TWICE, LEFT_OUT)), schema), "short")
 
     links = equal.unionByName(typed).unionByName(short).where("entity is not null")
