@@ -10,16 +10,20 @@ Jaccard similarity of t or more differ in at most ``d = (1-t)/(1+t) * (|A|+|B|)`
   block is its key. Differing elements spoil at most as many blocks as there are of them, so for
   d < k one block is always equal. For 0.65 and questions of about 100 elements d is 42, and blocks
   small enough for that guarantee (43 blocks of 2.4 elements) meet in nearly every pair of texts.
-  So k is the least number for which R *independent* partitions into k blocks all fail with
-  probability below ``MISS`` (1e-4, from the exact occupancy formula) at the largest d of a band;
-  at smaller differences the loss falls much faster and is exactly zero for d < k. R is chosen by
-  expected work (see `partitioning`), so that larger collections get larger blocks.
+  So k is the least number for which R *independent* partitions into k blocks (`partitions`, 8) all
+  fail with probability below ``MISS`` (1e-4, from the exact occupancy formula) at the largest d of a
+  band; at smaller differences the loss falls much faster and is exactly zero for d < k. R, k and the
+  hashes depend on the texts compared alone, never on the collection: more partitions pay for larger
+  ones, since chance meetings grow with the square of the texts and fall with the size of a block.
 * *Size bands.* Bands of set sizes grow by 1/t, so partners lie in one band or in neighbours; a
   record enters its own band and, as the smaller partner, the next one.
 * *Verify.* Candidates pass the sketch bound where they meet and then an exact comparison.
 
-Groups of one block key larger than ``tile`` rows are cut into tiles and compared tile by tile in
-separate tasks, so no key is a bottleneck and none is dropped.
+A record has R k signatures, but its number and sketch travel once for a *column group* of (partition,
+block) columns: rows are packed by group, each with four bytes a signature, and a group sorts its
+columns in turn. The number of groups, and of key ranges within a column, follows the number of texts;
+it settles where texts meet, not which. Groups of one block key larger than ``tile`` rows are cut into
+tiles and compared tile by tile in separate tasks, so no key is a bottleneck and none is dropped.
 """
 
 from __future__ import annotations
@@ -36,12 +40,10 @@ from grafonda.functions.plainform import plain_udf
 from grafonda.session import materialise
 
 _SYMBOLS = 37
-_DRAWN = 200  # forms looked at to plan the work; results do not depend on it
 UNIVERSE = _SYMBOLS**3
-MOST_PARTITIONS = 32
+PARTITIONS = 8
 MISS = 1e-4
-# measured seconds of one signature row (made, exchanged, sorted) and of one comparison of two sketches
-_ROW_COST, _PAIR_COST = 1.5e-6, 8e-9
+_ENTRIES, _LEAST_GROUPS = 8_000_000, 12  # signatures a task sorts; column groups of even the smallest collection
 
 
 @cache
@@ -65,21 +67,10 @@ def blocks_for(d: int, partitions: int, miss: float = MISS) -> int:
     return low
 
 
-def partitioning(d: int, forms: int, differences: np.ndarray) -> tuple[int, int]:
-    """(blocks, partitions) of least expected work for largest difference d among so many forms.
-
-    All choices lose a pair with less than MISS; fewer, larger blocks in more partitions make more
-    signatures and fewer chance meetings, which pays the more the larger the collection is.
-    `differences` are symmetric differences of pairs drawn from it.
-    """
-    best = None
-    for partitions in range(1, MOST_PARTITIONS + 1):
-        k = blocks_for(d, partitions)
-        meet = min(1.0, partitions * k * float(np.mean((1 - 1 / k) ** differences))) if len(differences) else 0.0
-        work = forms * partitions * k * _ROW_COST + forms**2 / 2 * meet * _PAIR_COST
-        if best is None or work < best[0]:
-            best = (work, k, partitions)
-    return best[1], best[2]
+def layout(columns: int, forms: int) -> tuple[int, int]:
+    """(column groups, key ranges a column) so that a task sorts about `_ENTRIES` signatures."""
+    tasks = max(_LEAST_GROUPS, -(-columns * forms // _ENTRIES))
+    return (min(tasks, columns), 1) if tasks <= columns else (columns, -(-tasks // columns))
 
 
 @cache
@@ -101,24 +92,37 @@ def _codes(text: bytes) -> np.ndarray:
 def _tables(partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fixed pseudo-random hash tables over the universe: place of the block, 64-bit hash, bit of the sketch."""
     rng = np.random.Generator(np.random.PCG64(20240229))
-    place = rng.random((partitions, UNIVERSE), dtype=np.float32).astype(np.float32)
+    bit = rng.integers(0, 192, UNIVERSE)
+    place = rng.random((partitions, UNIVERSE), dtype=np.float32)
     mix = rng.integers(1, 1 << 63, (partitions, UNIVERSE), dtype=np.int64).view(np.uint64)
-    return place, mix, rng.integers(0, 192, UNIVERSE)
+    return place, mix, bit
 
 
 def _sketches(owner: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
-    bit = _tables(MOST_PARTITIONS)[2][codes]
+    bit = _tables(1)[2][codes]
     out = np.zeros((n, 3), np.uint64)
     np.bitwise_xor.at(out, (owner, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
     return out
 
 
-def _signatures(threshold: float, forms: int, unlike: np.ndarray):
+def _mixed(key: np.ndarray) -> np.ndarray:
+    key = key ^ (key >> np.uint64(31))
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    return key ^ (key >> np.uint64(29))
+
+
+def _sized(batches):
+    """(form, plain, n) with the number of distinct trigrams."""
+    for batch in batches:
+        n = np.fromiter((len(_codes(t.encode())) for t in batch.column("plain").to_pylist()), np.int32, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=["form", "plain", "n"])
+
+
+def _signatures(threshold: float, forms: int, partitions: int, sizes_held: np.ndarray):
     edges = np.array(band_edges(threshold))
-    plans: dict[int, tuple[int, int]] = {}
 
     def emit(batches):
-        place, mix, _ = _tables(MOST_PARTITIONS)
+        place, mix, _ = _tables(partitions)
         for batch in batches:
             ids = batch.column("form").to_numpy()
             sets = [_codes(t.encode()) for t in batch.column("plain").to_pylist()]
@@ -130,37 +134,38 @@ def _signatures(threshold: float, forms: int, unlike: np.ndarray):
             sketch = _sketches(owner, codes, len(sets))
             for level in np.unique(np.concatenate([band, band + 1])):
                 upper = int(edges[level + 1]) - 1
-                # a partner in this band has at least edges[level] elements
-                here = (band == level) | ((band == level - 1) & (sizes >= math.ceil(threshold * edges[level])))
+                # a partner in this band has at least edges[level] elements, and there must be one of a size that fits
+                partner = np.searchsorted(sizes_held, edges[level])
+                smallest = sizes_held[partner] if partner < len(sizes_held) else UNIVERSE + 1
+                here = (band == level) | ((band == level - 1) & (sizes >= math.ceil(threshold * smallest)))
                 rows = np.flatnonzero(here)
                 if not len(rows):
                     continue
-                d = math.floor((1 - threshold) / (1 + threshold) * 2 * upper + 1e-9)
-                if level not in plans:
-                    plans[level] = partitioning(d, forms, unlike * (int(edges[level]) + upper))
-                k, partitions = plans[level]
+                k = blocks_for(math.floor((1 - threshold) / (1 + threshold) * 2 * upper + 1e-9), partitions)
                 number = np.full(len(sets), -1)
                 number[rows] = np.arange(len(rows))
                 mine = here[owner]
                 o, c = number[owner[mine]], codes[mine]
+                keys = np.zeros((partitions, k, len(rows)), np.uint64)
                 for r in range(partitions):
-                    key = np.zeros(len(rows) * k, np.uint64)
-                    np.bitwise_xor.at(key, o * k + (place[r][c] * k).astype(np.int64), mix[r][c])
-                    salt = (np.arange(k, dtype=np.uint64) + np.uint64(1000 * r + 100000 * int(level) + 1)) * np.uint64(0x9E3779B97F4A7C15)
-                    key = (key.reshape(-1, k) ^ salt).ravel()
-                    key ^= key >> np.uint64(31)
-                    key *= np.uint64(0xBF58476D1CE4E5B9)
-                    who = np.repeat(rows, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(ids[who]), pa.array(sizes[who].astype(np.int32)), pa.array(band[who] == level)]
-                        + [pa.array(sketch[who, w].view(np.int64)) for w in range(3)],
-                        names=["key", "form", "n", "own", "s0", "s1", "s2"],
-                    )
+                    np.bitwise_xor.at(keys[r].reshape(-1), (place[r][c] * k).astype(np.int64) * len(rows) + o, mix[r][c])
+                keys = _mixed(keys.reshape(-1, len(rows)))
+                groups, ranges = layout(len(keys), forms)
+                head = np.stack([ids[rows].view(np.uint64), *sketch[rows].T, (sizes[rows] * 2 + (band[rows] == level)).astype(np.uint64)])
+                bucket, columns, packed = [], [], []
+                for g in range(groups):
+                    own = keys[g::groups]
+                    for part in range(ranges):  # more than one range only where a group is one column
+                        some = slice(None) if ranges == 1 else np.flatnonzero(own[0] % np.uint64(ranges) == part)
+                        bucket.append((int(level) * 100_000 + g) * 100_000 + part)
+                        columns.append(len(own))
+                        packed.append(head[:, some].tobytes() + (own[:, some] >> np.uint64(32)).astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(columns, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "columns", "packed"])
 
     return emit
 
 
-SIGNATURE = "key long, form long, n int, own boolean, s0 long, s1 long, s2 long"
+SIGNATURE = "bucket long, columns int, packed binary"
 
 
 _SMALL, _CHUNK = 16, 256
@@ -189,80 +194,69 @@ def _block(left: slice, right: slice, form, n, own, s, threshold):
     return _kept(i[later], j[later], near[later], form, n, own, threshold)
 
 
-def _arrays(batch: pa.RecordBatch):
-    get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-    return get("key"), get("form"), get("n"), get("own"), *(get(f"s{w}").view(np.uint64) for w in range(3))
+def _unpacked(group: pa.Table):
+    """(head rows, keys) of a bucket, ascending in size."""
+    heads, keys = [], []
+    for columns, packed in zip(group.column("columns").to_pylist(), group.column("packed").to_pylist()):
+        rows = len(packed) // (40 + 4 * columns)
+        heads.append(np.frombuffer(packed, np.uint64, 5 * rows).reshape(5, rows))
+        keys.append(np.frombuffer(packed, np.uint32, columns * rows, 40 * rows).reshape(columns, rows))
+    head, key = np.concatenate(heads, 1), np.concatenate(keys, 1)
+    order = np.argsort(head[4], kind="stable")
+    return head[:, order], key[:, order]
 
 
 def _join(threshold: float, tile: int):
-    """Rows arrive sorted by key and size. Pairs of small groups come out as (a, b); rows of a group over `tile` come out deferred."""
-
-    def pairs(a, b):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a), pa.array(b)] + [pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())],
-            names=["a", "b", "key", "part", "n", "own", "s0", "s1", "s2"],
-        )
-
-    def complete(key, form, n, own, *s):
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        length = np.diff(np.r_[start, len(key)])
-        # small groups: all rows against the rows a fixed step behind, the same key on both sides
-        small = np.repeat(length <= _SMALL, length)
-        for lag in range(1, min(_SMALL, int(length.max(initial=1)))):
-            i = np.flatnonzero(small[:-lag] & (key[:-lag] == key[lag:]))
-            if len(i):
-                j = i + lag
-                far = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int32) for w in s)
-                a, b = _kept(i, j, far, form, n, own, threshold)
-                if len(a):
-                    yield pairs(a, b)
-        out_a, out_b = [], []
-        for first, size in zip(start[length > _SMALL].tolist(), length[length > _SMALL].tolist()):
-            for x in range(first, first + size, _CHUNK):
-                for y in range(x, first + size, _CHUNK):
-                    a, b = _block(slice(x, min(x + _CHUNK, first + size)), slice(y, min(y + _CHUNK, first + size)), form, n, own, s, threshold)
-                    if len(a):
-                        out_a.append(a), out_b.append(b)
-            if len(out_a) > 256:
-                yield pairs(np.concatenate(out_a), np.concatenate(out_b))
-                out_a, out_b = [], []
-        if out_a:
-            yield pairs(np.concatenate(out_a), np.concatenate(out_b))
-
-    def defer(base, key, form, n, own, *s):
-        part = ((np.arange(len(key)) + base) // tile).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(form), pa.nulls(len(form), pa.int64()), pa.array(key), pa.array(part), pa.array(n), pa.array(own)] + [pa.array(w.view(np.int64)) for w in s],
-            names=["a", "b", "key", "part", "n", "own", "s0", "s1", "s2"],
-        )
-
-    def run(batches):
-        held = None
-        hot, passed = None, 0
-        for batch in batches:
-            if not batch.num_rows:
+    """Meets the rows of one bucket column by column: pairs of small groups come out as (a, b), rows of a group over `tile` deferred."""
+
+    def meet(group: pa.Table) -> pa.Table:
+        head, keys = _unpacked(group)
+        bucket = group.column("bucket")[0].as_py()
+        ids, sizes, owns = head[0].view(np.int64), (head[4] >> np.uint64(1)).astype(np.int32), (head[4] & np.uint64(1)).astype(bool)
+        found, deferred = [], []
+        for at, key in enumerate(keys):
+            # one word holds key and place, so that equal keys come in ascending size
+            both = np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
+            key, place = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            same = key[1:] == key[:-1]
+            some = np.r_[False, same] | np.r_[same, False]
+            if not some.any():
                 continue
-            now = _arrays(batch)
-            if hot is not None:  # the rest of a deferred group
-                end = int(np.searchsorted(now[0], hot, side="right"))
-                if end:
-                    yield defer(passed, *(x[:end] for x in now))
-                    passed += end
-                if end == len(now[0]):
+            key, place = key[some], place[some]
+            form, n, own, s = ids[place], sizes[place], owns[place], [w[place] for w in head[1:4]]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            length = np.diff(np.r_[start, len(key)])
+            # small groups: all rows against the rows a fixed step behind, the same key on both sides
+            small = np.repeat(length <= _SMALL, length)
+            for lag in range(1, min(_SMALL, int(length.max(initial=1)))):
+                i = np.flatnonzero(small[:-lag] & (key[:-lag] == key[lag:]))
+                if len(i):
+                    j = i + lag
+                    far = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int32) for w in s)
+                    found.append(_kept(i, j, far, form, n, own, threshold))
+            for first, size in zip(start[length > _SMALL].tolist(), length[length > _SMALL].tolist()):
+                if size > tile:
+                    rows = slice(first, first + size)
+                    name = hash((bucket, at, int(key[first])))
+                    deferred.append((form[rows], np.full(size, name), (np.arange(size) // tile).astype(np.int32), n[rows], own[rows], *(w[rows].view(np.int64) for w in s)))
                     continue
-                hot, now = None, tuple(x[end:] for x in now)
-            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
-            first = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
-            if first:
-                yield from complete(*(x[:first] for x in held))
-                held = tuple(x[first:] for x in held)
-            if len(held[0]) > tile:
-                yield defer(0, *held)
-                hot, passed, held = held[0][0], len(held[0]), None
-        if held is not None and len(held[0]):
-            yield from complete(*held)
-
-    return run
+                # rows of the band below come first and are compared with each other in their own band
+                lower = first + size - int(own[first : first + size].sum())
+                for x in range(first, first + size, _CHUNK):
+                    for y in range(max(x, x + (lower - x) // _CHUNK * _CHUNK), first + size, _CHUNK):
+                        found.append(_block(slice(x, min(x + _CHUNK, first + size)), slice(y, min(y + _CHUNK, first + size)), form, n, own, s, threshold))
+        a, b = (np.concatenate([p[side] for p in found] or [np.zeros(0, np.int64)]) for side in (0, 1))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        rest = [np.concatenate(x) for x in zip(*deferred)] or [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, bool, np.int64, np.int64, np.int64)]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+        pairs = [pa.array(a[new]), pa.array(b[new]), *(pa.nulls(int(new.sum()), t) for t in types)]
+        rows = [pa.array(rest[0]), pa.nulls(len(rest[0]), pa.int64()), *(pa.array(x) for x in rest[1:])]
+        names = ["a", "b", "key", "part", "n", "own", "s0", "s1", "s2"]
+        return pa.concat_tables([pa.Table.from_arrays(pairs, names=names), pa.Table.from_arrays(rows, names=names)])
+
+    return meet
 
 
 DEFERRED = "a long, b long, key long, part int, n int, own boolean, s0 long, s1 long, s2 long"
@@ -328,7 +322,7 @@ def _verify(threshold: float):
     return check
 
 
-def plain_forms(rows: DataFrame, id_col: str, text_col: str, forms: DataFrame | None = None) -> DataFrame:
+def plain_forms(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, plain, form): every distinct id with its plain form of three or more characters and that form's number."""
     return (
         rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
@@ -341,19 +335,19 @@ def plain_forms(rows: DataFrame, id_col: str, text_col: str, forms: DataFrame |
     )
 
 
-def similar_forms(members: DataFrame, threshold: float = 0.65, tile: int = 4096) -> DataFrame:
+def similar_forms(members: DataFrame, threshold: float = 0.65, tile: int = 8192, partitions: int = PARTITIONS) -> DataFrame:
     """(form_a, form_b, similarity) of different plain forms at or above the threshold, form_a < form_b.
 
     ``members`` as from `plain_forms`. Form numbers are 64-bit hashes; should two forms share one,
     both are compared as that number's texts, so a collision can add a pair but not lose one.
     """
-    forms = members.select("form", "plain").dropDuplicates(["form"])
-    drawn = [_codes(r[0].encode()) for r in forms.select("plain").limit(_DRAWN).collect()]
-    unlike = np.array([1 - 2 * len(np.intersect1d(a, b, assume_unique=True)) / (len(a) + len(b)) for i, a in enumerate(drawn) for b in drawn[:i]])
-    signatures = forms.mapInArrow(_signatures(threshold, members.count(), unlike), SIGNATURE)
-    met = materialise(
-        signatures.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_join(threshold, tile), DEFERRED), "parity"
-    )
+    sized = members.select("form", "plain").distinct().mapInArrow(_sized, "form long, plain string, n int")
+    forms = materialise(sized, "forms")
+    held = {r["n"]: r["count"] for r in forms.groupBy("n").count().collect()}  # at most as many rows as there are trigrams
+    count = sum(held.values())
+    tasks = 2 * math.prod(layout(partitions * 24, count))
+    signatures = forms.select("form", "plain").mapInArrow(_signatures(threshold, count, partitions, np.array(sorted(held))), SIGNATURE)
+    met = materialise(signatures.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_join(threshold, tile), DEFERRED), "parity")
     near = met.where(F.col("b").isNotNull()).select("a", "b").union(_deferred_pairs(met.where(F.col("b").isNull()), threshold)).distinct()
     return (
         near.join(forms.select(F.col("form").alias("a"), F.col("plain").alias("plain_a")), "a")
@@ -363,6 +357,16 @@ def similar_forms(members: DataFrame, threshold: float = 0.65, tile: int = 4096)
     )
 
 
+def _copies(who: DataFrame, tile: int = 4096) -> DataFrame:
+    """(x, y, similarity): all pairs x < y of ids with one form; a form of more than `tile` ids is met part by part in separate tasks."""
+    large = who.groupBy("form").agg(F.ceil(F.count("*") / tile).alias("parts")).where("parts > 1")
+    salted = who.join(large, "form", "left").select("id", "form", F.coalesce("parts", F.lit(1)).alias("parts"))
+    mine, every = F.pmod(F.xxhash64("id"), "parts"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    a = salted.select(F.col("id").alias("x"), "form", mine.alias("s"), every.alias("t"))
+    b = salted.select(F.col("id").alias("y"), "form", mine.alias("t"), every.alias("s"))
+    return a.join(b, ["form", "s", "t"]).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+
+
 def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.65) -> DataFrame:
     """(id_a, id_b, similarity): every pair of different ids whose texts are similar, id_a < id_b in plain string order.
 
@@ -376,7 +380,7 @@ def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str, threshold:
     a = who.select(F.col("id").alias("x"), F.col("form").alias("form_a"))
     b = who.select(F.col("id").alias("y"), F.col("form").alias("form_b"))
     across = links.join(a, "form_a").join(b, "form_b").select("x", "y", "similarity")
-    copies = a.join(b, a.form_a == b.form_b).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    copies = _copies(who)
     return (
         across.where("x <> y")
         .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
