@@ -13,13 +13,12 @@ WORD_BEGIN, WORD_END = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 
 
 def bounded(pattern: str) -> str:
-    """A lexicon pattern with its word limits written out, so that every regex dialect reads it alike."""
-    head, rest = (pattern[:4], pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
-    if rest.startswith("A"):
-        rest = WORD_BEGIN + rest[1:]
-    if rest.endswith("B"):
-        rest = rest[:-1] + WORD_END
-    return head + rest
+    """A lexicon pattern for every regex dialect: its word limits written out for all letters, as dialects read \\b differently."""
+    flag = "(?i)" if pattern.startswith("(?i)") else ""
+    rest = pattern.removeprefix("(?i)")
+    begins = rest.startswith(r"\b")
+    rest = rest[2:] if begins else rest
+    return flag + (WORD_BEGIN if begins else "") + rest.replace(r"\b", WORD_END)
 
 
 def any_match(column: Column, patterns) -> Column:
@@ -79,6 +78,81 @@ def simple_names(column: Column, most: int = 25) -> Column:
     return F.aggregate(names, F.struct(none.alias("names"), none.alias("keys")), keep, lambda state: state["names"])
 
 
+_VIETNAMESE = r"([A-ZÀ-Ỹ][a-zà-ỹ]+(?:\s+[A-ZÀ-Ỹ][a-zà-ỹ]+){1,5})"
+
+
+def vietnamese_names(column: Column) -> Column:
+    """array<string>: runs of two to six capitalised words, the first spelling of each; ranges are those of the code points."""
+    found = F.regexp_extract_all(doubled_limits(column), F.lit(r"(?:^|[^\p{L}\p{N}_])" + _VIETNAMESE + r"(?:$|[^\p{L}\p{N}_])"), 1)
+    names = F.transform(found, lambda x: F.regexp_replace(x, r"(\s)\s", "$1"))
+    return let(names, lambda all_: let(F.transform(all_, lambda x: F.lower(x)), lambda keys: F.filter(all_, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)))
+
+
+# Words that open a question.
+_OPENERS = "ai|gì|nào|ở đâu|khi nào|bao giờ|tại sao|vì sao|như thế nào|cho biết|hãy|mô tả|giới thiệu|tóm tắt|liệt kê"
+
+
+def question_entities(column: Column) -> Column:
+    """array<string>: names a question is about: capitalised runs behind the opening word, else what it quotes, else its first three words."""
+    rest = F.regexp_replace(F.trim(column), rf"(?i)^({_OPENERS})\s*", "")
+    names = F.regexp_extract_all(rest, F.lit(r"([A-ZÀ-Ỹ][a-zà-ỹ]+(?:\s+[A-ZÀ-Ỹ][a-zà-ỹ]+)*)"), 1)
+    quoted = F.regexp_extract_all(column, F.lit('"([^"]+)"'), 1)
+    words = F.filter(F.split(collapse(rest), " "), lambda w: w != "")
+    first = F.when(F.size(words) > 0, F.array(F.array_join(F.slice(words, 1, 3), " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(names) > 0, names).when(F.size(quoted) > 0, quoted).otherwise(first)
+
+
+# Question patterns in order, with the template each stands for.
+QUESTION_PATTERNS = (
+    (r"(?i)(?:thông tin|cho biết|mô tả).*(?:về|của)\s+(.+)", "find_entity"),
+    (r"(?i)(.+)\s+là (?:ai|gì|cái gì)", "find_entity"),
+    (r"(?i)(?:ai|người nào)\s+(?:là|đã)\s+(.+)", "find_entity_typed"),
+    (r"(?i)(?:bài viết|trang|nội dung).*(?:về|của)\s+(.+)", "find_page"),
+    (r"(?i)(?:tóm tắt|giới thiệu)\s+(.+)", "find_page"),
+    (r"(?i)(.+)\s+(?:liên quan|có quan hệ|kết nối).*(?:với|đến)\s+(.+)", "multi_hop_link"),
+    (r"(?i)(?:mối quan hệ|liên hệ).*giữa\s+(.+)\s+và\s+(.+)", "two_entity_intersection"),
+    (r"(?i)(?:những|các)\s+(?:thực thể|đối tượng|nhân vật).*(?:trong|của)\s+(.+)", "entity_from_page"),
+    (r"(?i)(?:những|các)\s+(?:trang|bài).*(?:liên kết|link).*(?:từ|của)\s+(.+)", "linked_pages"),
+)
+# Words of a question that asks for a relation.
+_RELATING = "liên quan|quan hệ|kết nối|ảnh hưởng|tác động"
+#: what each template is in this engine: SQL over pages, chunks, mentions and links
+QUERY_TEMPLATES = {
+    "find_entity": "SELECT c.chunk_id FROM mentions m JOIN chunks c USING (chunk_id) WHERE contains(m.entity, lower('{first}'))",
+    "find_entity_typed": "SELECT c.chunk_id FROM mentions m JOIN entities e USING (entity) JOIN chunks c USING (chunk_id) WHERE contains(m.entity, lower('{first}'))",
+    "find_page": "SELECT c.chunk_id FROM pages p JOIN chunks c USING (page_id) WHERE contains(p.title, '{first}')",
+    "multi_hop_link": "SELECT c.chunk_id FROM pages p JOIN links l ON l.src = p.page_id JOIN chunks c ON c.page_id = l.dst WHERE contains(p.title, '{first}')",
+    "multi_hop_entity_bridge": "SELECT d.chunk_id FROM pages p JOIN chunks c USING (page_id) JOIN mentions m USING (chunk_id) JOIN mentions n ON n.entity = m.entity JOIN chunks d ON d.chunk_id = n.chunk_id WHERE contains(p.title, '{first}') AND d.page_id <> p.page_id",
+    "two_entity_intersection": "SELECT m.chunk_id FROM mentions m JOIN mentions n USING (chunk_id) WHERE m.entity = lower('{first}') AND n.entity = lower('{second}')",
+    "entity_from_page": "SELECT DISTINCT m.entity FROM pages p JOIN chunks c USING (page_id) JOIN mentions m USING (chunk_id) WHERE p.title = '{first}'",
+    "linked_pages": "SELECT c.chunk_id FROM pages p JOIN links l ON l.src = p.page_id JOIN chunks c ON c.page_id = l.dst WHERE p.title = '{first}'",
+}
+
+
+def question_template(column: Column) -> Column:
+    """struct<template, first, second>: the first pattern a question fits with its parameters, else a guess from the names it is about."""
+    names = question_entities(column)
+    relating = F.lower(column).rlike(_RELATING)
+    second = F.coalesce(F.get(names, F.lit(1)), F.lit(""))
+    guess = F.struct(
+        F.when(relating & (F.size(names) >= 2), "two_entity_intersection").when(relating, "multi_hop_entity_bridge").otherwise("find_entity").alias("template"),
+        F.get(names, F.lit(0)).alias("first"),
+        F.when(relating, second).otherwise("").alias("second"),
+    )
+    out = F.when(F.lit(False), F.struct(F.lit("").alias("template"), F.lit("").alias("first"), F.lit("").alias("second")))
+    for pattern, name in QUESTION_PATTERNS:
+        two = F.trim(F.regexp_extract(column, pattern, 2)) if name == "two_entity_intersection" else F.lit("")
+        out = out.when(column.rlike(pattern), F.struct(F.lit(name).alias("template"), F.trim(F.regexp_extract(column, pattern, 1)).alias("first"), two.alias("second")))
+    return out.when(F.size(names) > 0, guess)
+
+
+def template_query(found: Column) -> Column:
+    """The query text of a template with its parameters, quotes in them doubled."""
+    texts = F.create_map(*[x for kv in QUERY_TEMPLATES.items() for x in map(F.lit, kv)])
+    safe = lambda c: F.replace(c, F.lit("'"), F.lit("''"))
+    return filled(F.element_at(texts, found["template"]), first=safe(found["first"]), second=safe(found["second"]))
+
+
 def wikilinks(column: Column) -> Column:
     """array<struct<target, display>>: link targets with display text, the first of each target."""
     inner = F.regexp_extract_all(column, F.lit(r"\[\[([^\[\]]+)\]\]"), 1)
@@ -100,20 +174,23 @@ def wikilinks(column: Column) -> Column:
     return let(named, lambda all_: let(F.transform(all_, lambda s: F.lower(s["target"])), lambda keys: F.filter(all_, lambda s, i: F.array_position(keys, F.lower(s["target"])) == i + 1)))
 
 
+# What is taken out of wiki markup and what stays, in this order.
+MARKUP = (
+    (r"(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/?>", ""),
+    (r"\{\{[^}]*\}\}", ""),
+    (r"(?i)\[\[(File|Image|Tập tin|Hình):[^\]]*\]\]", ""),
+    (r"(?i)\[\[(Category|Thể loại|Danh mục):[^\]]*\]\]", ""),
+    (r"<[^>]+>", ""),
+    (r"(?m)^={2,6}\s*(.+?)\s*={2,6}\s*$", "$1"),
+    (r"'{2,3}(.+?)'{2,3}", "$1"),
+    (r"\[\[([^\[\]|]+)\|([^\[\]]+)\]\]", "$2"),
+    (r"\[\[([^\[\]]+)\]\]", "$1"),
+)
+
+
 def strip_markup(column: Column) -> Column:
     """Readable text of wiki markup; nested templates must be gone before (see `udfs.strip_templates`)."""
-    steps = (
-        (r"(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/?>", ""),
-        (r"\{\{[^}]*\}\}", ""),
-        (r"(?i)\[\[(File|Image|Tập tin|Hình):[^\]]*\]\]", ""),
-        (r"(?i)\[\[(Category|Thể loại|Danh mục):[^\]]*\]\]", ""),
-        (r"<[^>]+>", ""),
-        (r"(?m)^={2,6}\s*(.+?)\s*={2,6}\s*$", "$1"),
-        (r"'{2,3}(.+?)'{2,3}", "$1"),
-        (r"\[\[([^\[\]|]+)\|([^\[\]]+)\]\]", "$2"),
-        (r"\[\[([^\[\]]+)\]\]", "$1"),
-    )
-    text = reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, column)
+    text = reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), MARKUP, column)
     # what is left of a link cut off at the begin of a chunk
     stray = F.ltrim(text).startswith("|") | ((F.instr(text, "]]") > 0) & (F.instr(F.substring_index(text, "]]", 1), "[[") == 0))
     text = F.when(stray, F.regexp_replace(text, r"^(?s)(.*?)[^\[]*?\]\]", "$1")).otherwise(text)
@@ -189,16 +266,20 @@ def is_noise(name: Column, links: bool = True) -> Column:
 
 
 def grounded(name: Column, display: Column, text: Column, strict: bool = False) -> Column:
-    """Whether a name, its display form, its last two words or its first and last word stand in the text."""
-    low, n, d = F.lower(text), F.lower(name), F.lower(display)
+    """Whether a name, its display form, its last two words or its first and last word as one phrase stand in the text.
+
+    Compared in lower case and trimmed; callers bring all three to one Unicode form (`plainform.nfkc`).
+    An empty name stands nowhere. `strict` asks of a name of one word that it stands as a word.
+    """
+    low, n, d = F.trim(F.lower(text)), F.trim(F.lower(name)), F.trim(F.lower(F.coalesce(display, name)))
     tokens = F.split(collapse(n), " ")
-    inside = F.contains(low, n) | F.contains(low, d)
     two = (F.size(tokens) >= 2) & F.contains(low, F.array_join(F.slice(tokens, -2, 2), " "))
-    ends = (F.size(tokens) >= 3) & F.contains(low, F.element_at(tokens, 1)) & F.contains(low, F.element_at(tokens, -1))
+    ends = (F.size(tokens) >= 3) & F.contains(low, F.concat_ws(" ", F.element_at(tokens, 1), F.element_at(tokens, -1)))
+    inside = F.contains(low, n) | F.contains(low, d)
     if strict:
-        whole = F.expr("true") & F.regexp_like(low, F.concat(F.lit(WORD_BEGIN + r"\Q"), n, F.lit(r"\E" + WORD_END)))
-        return F.when(F.size(tokens) == 1, whole).otherwise(F.when(F.size(tokens) >= 2, inside | two | ends))
-    return inside | F.when(F.size(tokens) >= 2, two | ends).otherwise(F.lit(False))
+        whole = F.regexp_like(low, F.concat(F.lit(WORD_BEGIN + r"\Q"), n, F.lit(r"\E" + WORD_END)))
+        inside = F.when(F.size(tokens) == 1, whole).otherwise(inside)
+    return (n != "") & (inside | two | ends)
 
 
 def key_terms(column: Column) -> Column:
@@ -275,10 +356,3 @@ def shown_number(column: Column) -> Column:
 def filled(template: Column, **values: Column) -> Column:
     """A template with {name} replaced by the values."""
     return reduce(lambda t, kv: F.replace(t, F.lit("{" + kv[0] + "}"), kv[1]), values.items(), template)
-
-
-def is_read_only(query: Column) -> Column:
-    """Whether query text is one statement without a word that writes, comments aside."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(query, r"(?s)/\*.*?\*/", " "), r"//[^\n]*|--[^\n]*", " "))
-    one = F.regexp_replace(bare, r";\s*$", "")
-    return ~F.contains(one, F.lit(";")) & ~one.rlike(r"(?i)(?:^|[^\w])(create|merge|delete|detach|set|remove|drop|insert|update|alter|load|call|truncate)(?:$|[^\w])")

@@ -20,6 +20,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionAll(low.select("src", F.col("low").alias("dst"))).distinct()
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """Number and sum of hashes of distinct edges: the same for the same set."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) of an undirected graph (src, dst): component is the least node of the component.
 
@@ -31,9 +36,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     current = materialise(edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
     for _ in range(max_rounds):
         following = materialise(_small_star(_large_star(current).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))), "edges")
-        changed = following.exceptAll(current).limit(1).count() + current.exceptAll(following).limit(1).count()
+        settled = _digest(following) == _digest(current)
         current = following
-        if not changed:
+        if settled:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

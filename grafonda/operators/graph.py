@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafonda.session import materialise
@@ -29,16 +29,64 @@ def link_candidates(page_entity: DataFrame, links: DataFrame, least: int = 2, un
     return shared.join(known, ["page1", "page2"], "left_anti")
 
 
+def accepted_links(links: DataFrame, candidates: DataFrame, accept: Column) -> DataFrame:
+    """(src, dst, rel_type, predicted): the links, and the candidates (page1, page2, ...) that `accept` holds for."""
+    new = candidates.where(accept).select(F.col("page1").alias("src"), F.col("page2").alias("dst"), F.lit(True).alias("predicted"))
+    return links.select("src", "dst", F.lit(False).alias("predicted")).unionByName(new).select("src", "dst", F.lit("LINKS_TO").alias("rel_type"), "predicted")
+
+
+def temporal_neighbour(events: DataFrame, op: str, year: int) -> DataFrame:
+    """(centre, node, year): of a centre's events (centre, node, year) that compare with `year` as asked, the nearest one, ties by node."""
+    tests = {">": F.col("year") > year, ">=": F.col("year") >= year, "<": F.col("year") < year, "<=": F.col("year") <= year, "=": F.col("year") == year}
+    near = F.col("year") if op.startswith(">") else -F.col("year")
+    return events.where(tests[op]).groupBy("centre").agg(F.min_by(F.struct("node", "year"), F.struct(near.alias("y"), "node")).alias("s")).select("centre", "s.node", "s.year")
+
+
+def gold_answers(relations: DataFrame, bridges: dict[str, tuple[str, ...]], shared: dict[str, str]) -> DataFrame:
+    """(reasoning, entity, answer): ends of relation paths by reasoning type, and common sources of two targets ("x & y")."""
+    out = None
+    for reasoning, path in bridges.items():
+        step = lambda rel: relations.where(F.col("rel_type") == rel)
+        rows = step(path[0]).select(F.col("src").alias("entity"), F.col("dst").alias("answer"))
+        for rel in path[1:]:
+            rows = rows.join(step(rel).select(F.col("src").alias("answer"), F.col("dst").alias("_next")), "answer").select("entity", F.col("_next").alias("answer"))
+        rows = rows.select(F.lit(reasoning).alias("reasoning"), "entity", "answer").distinct()
+        out = rows if out is None else out.unionAll(rows)
+    for reasoning, rel in shared.items():
+        one = relations.where(F.col("rel_type") == rel).select("src", "dst").distinct()
+        rows = one.select("src", F.col("dst").alias("x")).join(one.select("src", F.col("dst").alias("y")), "src").where("x < y").select(F.lit(reasoning).alias("reasoning"), F.concat_ws(" & ", "x", "y").alias("entity"), F.col("src").alias("answer"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
 def neighbourhood(centres: DataFrame, mentions: DataFrame, hops: int = 1) -> DataFrame:
-    """(centre, hop, entity): entities met in a chunk with the centre (hop 1) or with one of those (hop 2), nearest hop only."""
-    pair = mentions.select("chunk_id", F.col("entity").alias("x")).join(mentions, "chunk_id").where("x <> entity").select("x", "entity").distinct()
-    reached = centres.select(F.col("entity").alias("centre")).join(pair, F.col("centre") == pair.x).select("centre", F.lit(1).alias("hop"), "entity")
+    """(centre, hop, entity): entities met in a chunk with the centre (hop 1) or with one of those (hop 2), nearest hop only.
+
+    Starts from the centres: their chunks, then the names in those, distinct at every step, so that
+    only what the centres reach is joined.
+    """
+    places = mentions.select(F.col("entity").alias("x"), "chunk_id")
+
+    def onward(rows: DataFrame) -> DataFrame:
+        chunks = rows.join(places, "x").select("centre", "chunk_id").distinct()
+        return chunks.join(mentions.select("chunk_id", "entity"), "chunk_id").select("centre", "entity").distinct().where("entity <> centre")
+
+    first = onward(centres.select(F.col("entity").alias("centre"), F.col("entity").alias("x")).distinct())
+    reached = first.select("centre", F.lit(1).alias("hop"), "entity")
     if hops > 1:
-        onward = reached.select("centre", F.col("entity").alias("x")).join(pair, "x").where("entity <> centre").select("centre", F.lit(2).alias("hop"), "entity").distinct()
-        reached = reached.unionByName(onward.join(reached.select("centre", "entity"), ["centre", "entity"], "left_anti").select("centre", "hop", "entity"))
+        # a neighbour alone in all its chunks but those of the centre leads back to names already met
+        second = onward(first.select("centre", F.col("entity").alias("x")))
+        reached = reached.unionByName(second.join(first, ["centre", "entity"], "left_anti").select("centre", F.lit(2).alias("hop"), "entity"))
     return reached
 
 
+def neighbourhood_chunks(reached: DataFrame, mentions: DataFrame, k: int = 10) -> DataFrame:
+    """(centre, chunk_id, n, rank): the k chunks with the most names of a centre's neighbourhood."""
+    counted = reached.select("centre", "entity").distinct().join(mentions, "entity").groupBy("centre", "chunk_id").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("centre").orderBy(F.desc("n"), "chunk_id")
+    return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def any_relation(centres: DataFrame, relations: DataFrame) -> DataFrame:
     """(centre, rel_type, neighbour, forward): relations of the centres in either direction."""
     forward = relations.select(F.col("src").alias("centre"), "rel_type", F.col("dst").alias("neighbour"), F.lit(True).alias("forward"))
@@ -46,48 +94,87 @@ def any_relation(centres: DataFrame, relations: DataFrame) -> DataFrame:
     return forward.unionByName(backward).join(centres.select(F.col("entity").alias("centre")).distinct(), "centre", "left_semi")
 
 
-def shortest_paths(sources: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """(source, node, length, path): least number of undirected edges from every source, within `most`, with the smallest such path.
+def shortest_paths(sources: DataFrame, edges: DataFrame, most: int, target: str | None = None) -> DataFrame:
+    """(source, node, length, path): least number of undirected edges from every source, within `most`, with the smallest such path as text.
 
-    Breadth first, a join a level: new nodes are those not met before (anti join), each keeping the
-    smallest of its shortest paths. Every level is a written table; levels stop when nothing is new.
+    Breadth first, a join a level, from the frontier alone: a node next to the frontier that was met
+    before was met in this level's neighbours, the frontier's own level or the one before, so new
+    nodes are told from the last two levels without looking at all nodes seen. Levels are written
+    tables; they stop when nothing is new or `target` has been met.
     """
     both = materialise(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    frontier = materialise(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("length"), F.array(F.col("node").cast("string")).alias("path")).distinct(), "level")
-    seen = frontier
+    frontier = materialise(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("length"), F.col("node").cast("string").alias("path")).distinct(), "level")
+    levels = [frontier]
     for level in range(1, most + 1):
         onward = frontier.join(both, frontier.node == both.src).select("source", F.col("dst").alias("node"), "path")
-        fresh = onward.join(seen.select("source", "node"), ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("path").alias("path"))
-        frontier = materialise(fresh.select("source", "node", F.lit(level).alias("length"), F.concat("path", F.array(F.col("node").cast("string"))).alias("path")), "level")
+        recent = levels[-1].select("source", "node") if len(levels) == 1 else levels[-1].select("source", "node").union(levels[-2].select("source", "node"))
+        fresh = onward.groupBy("source", "node").agg(F.min(F.concat("path", F.lit(" > "), F.col("node").cast("string"))).alias("path")).join(recent, ["source", "node"], "left_anti")
+        frontier = materialise(fresh.select("source", "node", F.lit(level).alias("length"), "path"), "level")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        levels.append(frontier)
+        if target is not None and not frontier.where(F.col("node") == target).isEmpty():
+            break
+    out = levels[0]
+    for frontier in levels[1:]:
+        out = out.unionByName(frontier)
+    return out
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
+def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(node, label): communities of a weighted undirected graph (a, b, weight).
 
     Each round a node takes the label with the greatest weight among its neighbours and itself
     (itself weighing as its strongest edge), ties going to the smallest label; synchronous and so
-    the same on every plan. `rounds` bounds the work; each round is a written table.
+    the same on every plan. It stops when no label changes; graphs in which labels keep changing
+    places are left as they are after `rounds`. Each round is a written table.
     """
     both = materialise(edges.select("a", "b", "weight").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "graph")
-    own = both.groupBy(F.col("a").alias("node")).agg(F.max("weight").alias("weight"))
-    labels = materialise(own.select("node", F.col("node").alias("label")), "labels")
+    own = materialise(both.groupBy(F.col("a").alias("node")).agg(F.max("weight").alias("weight")), "own")
+    labels = own.select("node", F.col("node").alias("label"))
     for _ in range(rounds):
         votes = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label", "weight").union(labels.join(own, "node").select("node", "label", "weight"))
-        summed = votes.groupBy("node", "label").agg(F.sum("weight").alias("weight"))
-        w = Window.partitionBy("node").orderBy(F.desc("weight"), "label")
-        labels = materialise(summed.withColumn("r", F.row_number().over(w)).where("r = 1").select("node", "label"), "labels")
+        best = votes.groupBy("node", "label").agg(F.sum("weight").alias("weight")).groupBy("node").agg(F.min(F.struct((-F.col("weight")).alias("w"), "label")).alias("s"))
+        following = materialise(best.select("node", F.col("s.label").alias("label")), "labels")
+        settled = _digest(following) == _digest(labels)
+        labels = following
+        if settled:
+            break
     return labels
 
 
+def _digest(rows: DataFrame):
+    """One number of all rows, whatever their order."""
+    return rows.agg(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()[0]
+
+
 def numbered_communities(labels: DataFrame, least: int = 3) -> DataFrame:
     """(entity, community): communities of `least` members or more, numbered from the largest, ties by smallest label."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    w = Window.orderBy(F.desc("size"), "label")  # one row a community; sizes alone are ordered
-    return labels.join(sizes.withColumn("community", F.row_number().over(w) - 1), "label").select(F.col("node").alias("entity"), "community")
+    numbers = numbered(sizes.select("label", (-F.col("size")).alias("size")), "size", "label").select("label", F.col("place").alias("community"))
+    return labels.join(numbers, "label").select(F.col("node").alias("entity"), "community")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """`rows` with `place`, their number from 0 in the order: sorted by ranges, counted per range, numbered within. No task holds all rows."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the low 33 bits count within a partition, the others name it
+    ranged = materialise(ranged.withColumn("_m", F.monotonically_increasing_id()), "sorted").withColumn("_p", F.shiftright("_m", 33))
+    before, parts = 0, {}
+    for r in sorted(ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()):  # one row a range
+        parts[r["_p"]], before = before, before + r["n"]
+    starts = ranged.sparkSession.createDataFrame(list(parts.items()), "_p long, _b long")
+    return ranged.join(F.broadcast(starts), "_p").withColumn("place", F.col("_b") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_p", "_m", "_b")
+
+
+def sampled(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """n rows drawn by the digest of their key: the same rows on every plan."""
+    return rows.withColumn("_d", F.md5(F.concat_ws("|", *key))).orderBy("_d", *key).limit(n).drop("_d")
+
+
+def shuffled(rows: DataFrame, *key: str) -> DataFrame:
+    """All rows in the order of the digest of their key."""
+    return rows.orderBy(F.md5(F.concat_ws("|", *key)), *key)
 
 
 def two_hop_walks(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -98,16 +185,20 @@ def two_hop_walks(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     return one.join(two, "entity").where("page1 <> page2")
 
 
-def three_hop_walks(mentions: DataFrame) -> DataFrame:
-    """(chunk1, entity1, entity2, chunk3): chunk1 mentions both entities, chunk3 the second, and a third chunk mentions it as well.
+def three_hop_walks(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(page1, entity1, entity2, page2, chunk1, chunk3): a chunk of page1 mentions both entities, a chunk of page2 the second, as a third chunk does.
 
-    The middle chunk only has to exist, so it is a filter on the entity's degree instead of a join.
+    One walk for every page1, entity1, entity2, page2 with page1 <> page2, through its smallest chunks.
+    The middle chunk only has to exist, so it is a filter on the entity's degree instead of a join, and
+    both ends are reduced to one chunk a page before they meet.
     """
+    placed = mentions.join(chunks.select("chunk_id", "page_id"), "chunk_id")
     degree = mentions.groupBy("entity").agg(F.count("*").alias("deg")).where("deg >= 3").select(F.col("entity").alias("entity2"))
-    first = mentions.select(F.col("chunk_id").alias("chunk1"), F.col("entity").alias("entity1"))
-    second = mentions.select(F.col("chunk_id").alias("chunk1"), F.col("entity").alias("entity2")).join(degree, "entity2", "left_semi")
-    third = mentions.select(F.col("chunk_id").alias("chunk3"), F.col("entity").alias("entity2"))
-    return first.join(second, "chunk1").where("entity1 <> entity2").join(third, "entity2").where("chunk1 <> chunk3")
+    first = placed.select("chunk_id", F.col("page_id").alias("page1"), F.col("entity").alias("entity1"))
+    second = mentions.select("chunk_id", F.col("entity").alias("entity2")).join(degree, "entity2", "left_semi")
+    begin = first.join(second, "chunk_id").where("entity1 <> entity2").groupBy("page1", "entity1", "entity2").agg(F.min("chunk_id").alias("chunk1"))
+    end = placed.groupBy(F.col("entity").alias("entity2"), F.col("page_id").alias("page2")).agg(F.min("chunk_id").alias("chunk3"))
+    return begin.join(end, "entity2").where("page1 <> page2").select("page1", "entity1", "entity2", "page2", "chunk1", "chunk3")
 
 
 def broken_walks(mentions: DataFrame) -> DataFrame:

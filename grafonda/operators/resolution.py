@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grafonda.functions import lexicon as L
 from grafonda.functions.text import any_match, collapse, disambiguation, entity_type, hint_type, is_noise, wikilinks
+from grafonda.functions.plainform import nfkc
 from grafonda.functions.udfs import without_marks
 
 
@@ -47,7 +48,7 @@ def link_entities(rows: DataFrame, doc: str, text: str) -> DataFrame:
 
 def postprocess(found: DataFrame) -> DataFrame:
     """(doc, pos, name, type): normalised names that are no noise, the first of each in a document, types corrected by surface."""
-    n = found.withColumn("name", collapse(F.btrim("name", F.lit(" .,;:!?\"'[]{}«»")))).where((F.col("name") != "") & ~is_noise(F.col("name")))
+    n = found.withColumn("name", collapse(F.btrim(nfkc("name"), F.lit(" .,;:!?\"'[]{}«»")))).where((F.col("name") != "") & ~is_noise(F.col("name")))
     typed = n.withColumn("type", F.when(any_match(F.col("name"), L.ORG_SURFACE), "Organization").otherwise(F.col("type")))
     return typed.groupBy("doc", F.lower("name").alias("key")).agg(F.min(F.struct("pos", "name", "type")).alias("s")).select("doc", "s.pos", "s.name", "s.type")
 
@@ -89,3 +90,39 @@ def bio_spans(tokens: DataFrame, doc: str = "doc", pos: str = "pos", word: str =
     spans = grouped.groupBy(F.col(doc).alias("doc"), "_s").agg(F.min(pos).alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, word))), lambda s: s[word]), " ").alias("name"), F.min("_k").alias("t"))
     kinds = F.create_map(*[F.lit(x) for kv in {"PER": "Person", "PERSON": "Person", "ORG": "Organization", "LOC": "Location", "GPE": "Location", "MISC": "Work", "MISCELLANEOUS": "Work"}.items() for x in kv])
     return spans.select("doc", "pos", "name", F.coalesce(F.try_element_at(kinds, F.upper("t")), F.lit("Unknown")).alias("type"))
+
+
+def resolved_triples(triples: DataFrame, entities: DataFrame) -> DataFrame:
+    """(src, rel_type, dst, confidence): triples whose both ends are the exact name of an entity(entity_id, name); one edge a relation, the surest."""
+    ends = lambda a, c: entities.select(F.col("entity_id").alias(a), F.col("name").alias(c))
+    named = triples.join(ends("src", "subject"), "subject").join(ends("dst", "object"), "object")
+    return named.groupBy("src", F.col("relation").alias("rel_type"), "dst").agg(F.max("confidence").alias("confidence"))
+
+
+def typed_labels(entities: DataFrame) -> DataFrame:
+    """`entities` with `typed`: whether they carry a label of their own."""
+    return entities.withColumn("typed", F.coalesce(F.col("label"), F.lit("Unknown")).isin("Person", "Organization", "Location", "Work"))
+
+
+def without_noise(entities: DataFrame) -> DataFrame:
+    """`entities` without untyped ones whose name is under two characters or all digits and marks."""
+    noise = (F.length("entity") < 2) | F.col("entity").rlike(r"^[0-9,.%\s]+$")
+    return typed_labels(entities).where(F.col("typed") | ~noise).drop("typed")
+
+
+def backfilled(chunks: DataFrame, most: int = 25) -> DataFrame:
+    """(chunk_id, name): names found anywhere on a page, in the chunks of the page that hold them.
+
+    A page's names are its first `most` in the order of its chunks; names do not run on from one chunk
+    to the next. Chunks are read one by one and only their names meet, so a page of any size is no
+    single task.
+    """
+    from pyspark.sql import Window
+
+    from grafonda.functions.text import simple_names
+
+    found = chunks.select("page_id", "seq", "chunk_id", F.posexplode(simple_names(F.col("text"), most)).alias("pos", "name"))
+    first = found.groupBy("page_id", F.lower("name").alias("key")).agg(F.min(F.struct("seq", "chunk_id", "pos", "name")).alias("s"))
+    w = Window.partitionBy("page_id").orderBy("s")
+    kept = first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("page_id", "s.name", "key")
+    return chunks.select("page_id", "chunk_id", F.lower("text").alias("low")).join(kept, "page_id").where(F.contains("low", "key")).select("chunk_id", "name")

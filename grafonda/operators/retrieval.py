@@ -6,6 +6,8 @@ Scores are rounded before ranking and ties go to the smaller document, so every
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +23,41 @@ def postings(docs: DataFrame, doc: str, text: Column) -> DataFrame:
     return words.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+BUCKETS = 64
+#: asked terms up to which the scan itself is cut down to them
+ASKED = 5_000
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def index_of(docs: DataFrame) -> DataFrame:
+    """Posting rows (doc, term, tf, dl, bucket) of docs(doc, text) in the order of an index to be written partitioned by bucket.
+
+    Ranges run over bucket, term and document, so a frequent term is spread over files and a file
+    holds few terms: readers skip buckets by partition and row groups by term.
+    """
+    rows = postings(docs, "doc", F.col("text")).withColumn("bucket", _bucket(F.col("term")))
+    return rows.repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term", "doc")
+
+
 def bm25(questions: DataFrame, index: DataFrame, doc_count: DataFrame) -> DataFrame:
     """(query_id, doc, score) of every document that shares a term with a question.
 
-    `index` as from `postings`, `doc_count` one row (n, avgdl). Document frequencies join the
-    questions' terms first, so that the posting list is met once, by the terms asked for only.
+    `index` as from `postings`, or written from `index_of`; `doc_count` one row (n, avgdl). The terms
+    asked for cut the posting list down before anything else: by filters that the scan knows while
+    they are few, else by a semi join.
     """
     asked = questions.select("query_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
+    words = [r[0] for r in asked.select("term").distinct().limit(ASKED + 1).collect()]
+    if len(words) <= ASKED:
+        wanted = index.where(F.col("term").isin(words))
+        if "bucket" in index.columns:
+            buckets = [r[0] for r in asked.select(_bucket(F.col("term"))).distinct().collect()]
+            wanted = wanted.where(F.col("bucket").isin(buckets))
+    else:
+        wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(doc_count)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("idf") * F.col("tf") / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl")))
@@ -54,16 +83,54 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot, norm(a) * norm(b))
 
 
+#: questions compared at once; their vectors travel to the tasks
+QUESTION_BLOCK = 10_000
+
+
+def _best_of_batches(matrix: np.ndarray, k: int):
+    """(query, doc, cosine) of each batch's k best documents of every question, ties included."""
+
+    def run(batches):
+        norm = np.linalg.norm(matrix, axis=1)
+        unit = matrix / np.where(norm, norm, np.nan)[:, None]
+        for batch in batches:
+            lists = batch.column("embedding")
+            fits = np.asarray(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == matrix.shape[1])
+            if not fits.any():
+                continue
+            doc = batch.column("doc").filter(pa.array(fits))
+            v = lists.filter(pa.array(fits)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[1])
+            length = np.linalg.norm(v, axis=1)
+            cosine = np.nan_to_num((unit @ v.T) / np.where(length, length, np.nan), nan=-2.0, posinf=-2.0, neginf=-2.0)
+            # rounded scores decide later, so what rounds to the k-th best stays
+            least = np.partition(cosine, -k, axis=1)[:, -k] - 4e-6 if cosine.shape[1] > k else np.full(len(cosine), -1.5)
+            q, d = np.nonzero(cosine >= np.maximum(least, -1.5)[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), doc.take(pa.array(d)), pa.array(cosine[q, d])], names=["q", "doc", "cosine"])
+
+    return run
+
+
 def vector_search(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc, score, rank): exact top k by (1 + cosine) / 2 of `vectors(doc, embedding)` for a bounded set of questions.
+    """(query_id, doc, score, rank): exact top k by (1 + cosine) / 2 of `vectors(doc, embedding)`.
 
-    The questions travel to the vectors while they are few (counted), else both sides are cut in
-    blocks; every partition keeps k per question before the exchange (window group limit).
+    Questions travel to the vectors in blocks of `QUESTION_BLOCK`; a batch of vectors meets a block in
+    one matrix product and keeps k a question before the exchange. Vectors of another length than the
+    questions', with nulls or without a direction are found by none.
     """
-    q = questions.select("query_id", F.col("embedding").alias("q"))
-    q = F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q
-    scored = vectors.crossJoin(q).select("query_id", "doc", F.round((1 + cosine(F.col("embedding"), F.col("q"))) / 2, 6).alias("score")).where("score is not null and not isnan(score)")
-    return top(scored, k)
+    spark = vectors.sparkSession
+    q = questions.select("query_id", F.col("embedding").cast("array<double>").alias("e")).where(F.col("e").isNotNull() & ~F.exists("e", lambda x: x.isNull()))
+    usable = vectors.select("doc", "embedding").where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+    blocks = -(-q.count() // QUESTION_BLOCK)
+    kinds = dict(vectors.dtypes)["doc"], dict(q.dtypes)["query_id"]
+    every = spark.createDataFrame([], f"query_id {kinds[1]}, doc {kinds[0]}, cosine double")
+    for block in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        for dim in {len(r["e"]) for r in rows} - {0}:
+            some = [r for r in rows if len(r["e"]) == dim]
+            named = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(some)], f"q int, query_id {kinds[1]}")
+            found = usable.mapInArrow(_best_of_batches(np.array([r["e"] for r in some]), k), f"q int, doc {kinds[0]}, cosine double")
+            every = every.unionByName(found.join(F.broadcast(named), "q").select("query_id", "doc", "cosine"))
+    return top(every.select("query_id", "doc", F.round((1 + F.col("cosine")) / 2, 6).alias("score")), k)
 
 
 def graph_channel(entity_hits: DataFrame, mentions: DataFrame, k: int, distinct_scores: bool = False) -> DataFrame:
@@ -104,6 +171,10 @@ def overlap_score(question: Column, text: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(asked, F.array_distinct(terms(text)))), F.size(asked)), F.lit(0.0)), 6)
 
 
+#: characters of a text that a scorer reads
+SCORED = 512
+
+
 def rerank(candidates: DataFrame, score: Column, k: int = 5, least: float = L.RERANK_MIN_SCORE) -> DataFrame:
     """Candidates by a new score: those of `least` or more, the best one if there is none, at most k."""
     scored = candidates.withColumn("score", score)
@@ -123,3 +194,22 @@ def snippets_answer(fused: DataFrame, texts: DataFrame, count: int = 3, size: in
     best = top(fused, count).join(texts, "doc")
     rows = best.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.left("text", F.lit(size)).alias("s")))), lambda x: x["s"]), " | ").alias("answer"))
     return rows
+
+
+def widen(ranked: DataFrame, expanded: DataFrame) -> DataFrame:
+    """`ranked` with the rows of `expanded` whose document a query does not have yet."""
+    new = expanded.join(ranked.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
+    return ranked.select("query_id", "doc").unionByName(new.select("query_id", "doc"))
+
+
+def else_from(found: DataFrame, fallback: DataFrame) -> DataFrame:
+    """`found`, and for queries that found nothing the rows of `fallback`."""
+    missing = fallback.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return found.unionByName(missing.select(found.columns))
+
+
+def require(df: DataFrame, *columns: str) -> DataFrame:
+    """`df` if it has all the columns; raises with the missing ones else."""
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df

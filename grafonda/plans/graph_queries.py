@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grafonda.functions import lexicon as L
-from grafonda.functions.text import filled
+from grafonda.functions.text import collapse, filled
 from grafonda.operators import graph
 from grafonda.operators.components import connected_components
 from grafonda.plans import kg
-from grafonda.plans.kg import query, with_kg
-from grafonda.session import table
+from grafonda.plans.kg import community_cte, query, with_kg
+from grafonda.session import materialise, table
 
 
 @query(with_kg("SELECT 'pages' AS item, count(*) AS n FROM pg UNION ALL SELECT 'chunks', count(*) FROM ch UNION ALL SELECT 'entities', count(*) FROM en UNION ALL SELECT 'mentions', count(*) FROM mn UNION ALL SELECT 'links', count(*) FROM lk"))
@@ -52,21 +52,36 @@ def link_candidates(spark, sf):
     return graph.link_candidates(_page_entity(spark, sf), kg.links(spark, sf), 2)
 
 
-@query(None)
+_LINK_CANDIDATES = "lc AS (SELECT a.page_id AS page1, b.page_id AS page2, count(*) AS shared FROM pe a JOIN pe b ON a.entity = b.entity AND a.page_id < b.page_id WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.src = a.page_id AND lk.dst = b.page_id) GROUP BY 1, 2 HAVING count(*) >= 2)"
+
+
+@query(with_kg("""SELECT lp.page_id, pg.title, e.entities, l.linked FROM (SELECT page1 AS page_id FROM lc UNION SELECT page2 FROM lc) lp JOIN pg ON pg.page_id = lp.page_id
+  LEFT JOIN (SELECT page_id, array_to_string(list(entity ORDER BY entity)[1:20], ', ') AS entities FROM pe GROUP BY 1) e ON e.page_id = lp.page_id
+  LEFT JOIN (SELECT src, array_to_string(list(title ORDER BY title)[1:5], ', ') AS linked FROM (SELECT DISTINCT lk.src, pg.title FROM lk JOIN pg ON pg.page_id = lk.dst) GROUP BY 1) l ON l.src = lp.page_id""", _PE, _LINK_CANDIDATES))
 def link_context(spark, sf):
-    """Up to 20 entities and 5 linked titles of every page that is in a candidate pair."""
-    pe, links, pages = _page_entity(spark, sf), kg.links(spark, sf), kg.pages(spark, sf)
-    ents = pe.groupBy("page_id").agg(F.slice(F.array_sort(F.collect_set("entity")), 1, 20).alias("entities"))
+    """Up to 20 entities and 5 linked titles of every page that is in a candidate pair: what a judge of the pair reads."""
+    pe, links, pages = materialise(_page_entity(spark, sf), "page_entity"), kg.links(spark, sf), kg.pages(spark, sf)
+    pairs = graph.link_candidates(pe, links, 2)
+    wanted = pairs.select(F.col("page1").alias("page_id")).union(pairs.select("page2")).distinct()
+    ents = pe.groupBy("page_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("entity")), 1, 20), ", ").alias("entities"))
     named = links.join(pages.select(F.col("page_id").alias("dst"), "title"), "dst")
-    tos = named.groupBy(F.col("src").alias("page_id")).agg(F.slice(F.array_sort(F.collect_set("title")), 1, 5).alias("linked"))
-    return pages.select("page_id", "title").join(ents, "page_id", "left").join(tos, "page_id", "left")
+    tos = named.groupBy(F.col("src").alias("page_id")).agg(F.array_join(F.slice(F.array_sort(F.collect_set("title")), 1, 5), ", ").alias("linked"))
+    return wanted.join(pages.select("page_id", "title"), "page_id").join(ents, "page_id", "left").join(tos, "page_id", "left").select("page_id", "title", "entities", "linked")
+
+
+@query(with_kg("SELECT src, dst, 'LINKS_TO' AS rel_type, false AS predicted FROM lk UNION ALL SELECT page1, page2, 'LINKS_TO', true FROM lc WHERE shared >= 3", _PE, _LINK_CANDIDATES))
+def link_accept(spark, sf):
+    """The links and, as predicted ones, the candidates that a judge accepts; here those with three names in common or more."""
+    pairs = graph.link_candidates(_page_entity(spark, sf), kg.links(spark, sf), 2)
+    return graph.accepted_links(kg.links(spark, sf), pairs, F.col("shared") >= 3)
 
 
-_CENTRES = "ce AS (SELECT DISTINCT lower(trim(regexp_replace(canonical_name, '[\\s\\p{Z}]+', ' ', 'g'))) AS entity FROM resolved_entities WHERE entity_type = 'Location')"
+_CENTRES = "ce AS (SELECT DISTINCT lower(trim(regexp_replace(canonical_name, '[\\s\\p{Z}]+', ' ', 'g'))) AS entity FROM resolved_entities )"
 
 
 def _centres(spark, sf):
-    return table(spark, sf, "resolved_entities").where("entity_type = 'Location'").select(F.lower(F.trim(F.regexp_replace("canonical_name", r"\s+", " "))).alias("entity")).distinct()
+    """The names of the registry, of every type."""
+    return table(spark, sf, "resolved_entities").select(F.lower(collapse(F.col("canonical_name"))).alias("entity")).where("entity <> ''").distinct()
 
 
 @query(with_kg("SELECT DISTINCT a.entity AS centre, 1 AS hop, b.entity FROM ce JOIN mn a ON a.entity = ce.entity JOIN mn b ON a.chunk_id = b.chunk_id AND a.entity <> b.entity", _CENTRES))
@@ -83,6 +98,14 @@ def neighborhood_2hop(spark, sf):
     return graph.neighbourhood(_centres(spark, sf), kg.mentions(spark, sf), 2)
 
 
+@query(with_kg("""SELECT centre, chunk_id, n, rank FROM (SELECT h.centre, mn.chunk_id, count(*) AS n, row_number() OVER (PARTITION BY h.centre ORDER BY count(*) DESC, mn.chunk_id) AS rank FROM (
+  SELECT DISTINCT a.entity AS centre, b.entity FROM ce JOIN mn a ON a.entity = ce.entity JOIN mn b ON a.chunk_id = b.chunk_id AND a.entity <> b.entity) h JOIN mn ON mn.entity = h.entity GROUP BY 1, 2) WHERE rank <= 10""", _CENTRES))
+def neighborhood_chunks(spark, sf):
+    """The 10 chunks that mention most of a centre's neighbours."""
+    m = kg.mentions(spark, sf)
+    return graph.neighbourhood_chunks(graph.neighbourhood(_centres(spark, sf), m, 1), m)
+
+
 _RELATIONS = """rel AS (
   SELECT 'N' || n_nationkey AS src, 'LOCATED_IN' AS rel_type, 'R' || n_regionkey AS dst FROM nation
   UNION ALL SELECT 'S' || s_suppkey, 'LOCATED_IN', 'N' || s_nationkey FROM supplier
@@ -118,9 +141,32 @@ def shortest_path(spark, sf):
     return graph.shortest_paths(start, _relations(spark, sf), 4).select("node", "length")
 
 
-def _shortest_path_nodes(spark, sf):
-    start = spark.createDataFrame([("R0",)], "node string")
-    return graph.shortest_paths(start, _relations(spark, sf), 4).select("node", "length", F.array_join("path", " > ").alias("path"))
+_GRAPH_EDGES = """he AS (SELECT DISTINCT src, dst FROM (
+  SELECT 'p:' || page_id AS src, 'c:' || chunk_id AS dst FROM ch WHERE page_id IS NOT NULL UNION ALL SELECT 'c:' || chunk_id, 'e:' || entity FROM mn UNION ALL SELECT 'p:' || src, 'p:' || dst FROM lk))"""
+
+
+def _graph_edges(spark, sf):
+    """HAS_CHUNK, MENTIONS and LINKS_TO as one set of edges between tagged nodes."""
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c))
+    ch, mn, lk = kg.chunks(spark, sf).where("page_id is not null"), kg.mentions(spark, sf), kg.links(spark, sf)
+    return ch.select(tag("p:", "page_id").alias("src"), tag("c:", "chunk_id").alias("dst")).unionAll(mn.select(tag("c:", "chunk_id"), tag("e:", "entity"))).unionAll(lk.select(tag("p:", "src"), tag("p:", "dst"))).distinct()
+
+
+@query(with_kg(""", b AS MATERIALIZED (SELECT src, dst FROM he UNION SELECT dst, src FROM he),
+  p0 AS (SELECT min('p:' || page_id) AS source FROM ch), v0 AS MATERIALIZED (SELECT source AS node, 0 AS length, source AS path FROM p0),
+  v1 AS MATERIALIZED (SELECT b.dst AS node, 1 AS length, min(v0.path || ' > ' || b.dst) AS path FROM v0 JOIN b ON b.src = v0.node WHERE b.dst NOT IN (SELECT node FROM v0) GROUP BY 1),
+  s1 AS MATERIALIZED (SELECT * FROM v0 UNION ALL SELECT * FROM v1),
+  v2 AS MATERIALIZED (SELECT b.dst AS node, 2 AS length, min(v1.path || ' > ' || b.dst) AS path FROM v1 JOIN b ON b.src = v1.node WHERE b.dst NOT IN (SELECT node FROM s1) GROUP BY 1),
+  s2 AS MATERIALIZED (SELECT * FROM s1 UNION ALL SELECT * FROM v2),
+  v3 AS MATERIALIZED (SELECT b.dst AS node, 3 AS length, min(v2.path || ' > ' || b.dst) AS path FROM v2 JOIN b ON b.src = v2.node WHERE b.dst NOT IN (SELECT node FROM s2) GROUP BY 1),
+  s3 AS MATERIALIZED (SELECT * FROM s2 UNION ALL SELECT * FROM v3),
+  v4 AS (SELECT b.dst AS node, 4 AS length, min(v3.path || ' > ' || b.dst) AS path FROM v3 JOIN b ON b.src = v3.node WHERE b.dst NOT IN (SELECT node FROM s3) GROUP BY 1)
+  SELECT node, length, path FROM s3 UNION ALL SELECT * FROM v4""", _GRAPH_EDGES))
+def shortest_path_graph(spark, sf):
+    """Shortest paths over pages, chunks and names of any relation, from the first page, with the path itself."""
+    edges = _graph_edges(spark, sf)
+    start = kg.chunks(spark, sf).agg(F.min(F.concat(F.lit("p:"), F.col("page_id"))).alias("node"))
+    return graph.shortest_paths(start, edges, 4).select("node", "length", "path")
 
 
 @query("WITH t AS (SELECT src AS page_id FROM (" + with_kg("SELECT * FROM lk") + ")) SELECT page_id, count(*) AS out_degree FROM t GROUP BY page_id ORDER BY out_degree DESC, page_id LIMIT 20")
@@ -182,9 +228,41 @@ def walks_2hop(spark, sf):
     return graph.two_hop_walks(kg.mentions(spark, sf), kg.chunks(spark, sf).where("page_id is not null"))
 
 
-@query(with_kg("SELECT a.chunk_id AS chunk1, a.entity AS entity1, b.entity AS entity2, c.chunk_id AS chunk3 FROM mn a JOIN mn b ON a.chunk_id = b.chunk_id AND a.entity <> b.entity JOIN mn c ON c.entity = b.entity AND c.chunk_id <> a.chunk_id WHERE b.entity IN (SELECT entity FROM mn GROUP BY 1 HAVING count(*) >= 3)"))
+_WALKS3 = (
+    "w3a AS MATERIALIZED (SELECT ch.page_id AS page1, a.entity AS entity1, b.entity AS entity2, min(a.chunk_id) AS chunk1 FROM mn a JOIN ch ON ch.chunk_id = a.chunk_id JOIN mn b ON b.chunk_id = a.chunk_id AND b.entity <> a.entity WHERE ch.page_id IS NOT NULL GROUP BY 1, 2, 3)",
+    "w3 AS (SELECT w.page1, w.entity1, w.entity2, ch.page_id AS page2, min(w.chunk1) AS chunk1, min(c.chunk_id) AS chunk3 FROM w3a w JOIN mn c ON c.entity = w.entity2 JOIN ch ON ch.chunk_id = c.chunk_id WHERE ch.page_id <> w.page1 AND w.entity2 IN (SELECT entity FROM mn GROUP BY 1 HAVING count(*) >= 3) GROUP BY 1, 2, 3, 4)",
+)
+
+
+@query(with_kg("SELECT * FROM w3", *_WALKS3))
 def walks_3hop(spark, sf):
-    return graph.three_hop_walks(kg.mentions(spark, sf))
+    return graph.three_hop_walks(kg.mentions(spark, sf), kg.chunks(spark, sf).where("page_id is not null"))
+
+
+@query(with_kg("SELECT page1, entity1, entity2, page2 FROM w3 ORDER BY md5(page1 || '|' || entity1 || '|' || entity2 || '|' || page2), page1, entity1, entity2, page2 LIMIT 3000", *_WALKS3))
+def walks_3hop_sample(spark, sf):
+    """The walks as the generator draws them: 3000, the same on every plan."""
+    key = ("page1", "entity1", "entity2", "page2")
+    return graph.sampled(graph.three_hop_walks(kg.mentions(spark, sf), kg.chunks(spark, sf).where("page_id is not null")).select(*key), 3000, *key)
+
+
+@query(with_kg("SELECT entity, chunk_id FROM (SELECT entity, min(chunk_id) AS chunk_id FROM mn GROUP BY entity HAVING count(*) = 1) ORDER BY md5(entity), entity"))
+def walks_broken_shuffled(spark, sf):
+    return graph.shuffled(graph.broken_walks(kg.mentions(spark, sf)), "entity")
+
+
+_PICK3 = "[" + ", ".join("'" + q + "'" for q in L.THREE_HOP_QUESTIONS) + "][(('0x' || substr(md5(walk_key), 1, 6))::BIGINT % 3) + 1]"
+
+
+@query(with_kg("SELECT walk_key, replace(replace(replace(replace(" + _PICK3 + ", '{entity1}', entity1), '{entity2}', entity2), '{page1}', t1), '{page2}', t2) AS question FROM (SELECT w3.page1 || '|' || entity1 || '|' || entity2 || '|' || w3.page2 AS walk_key, entity1, entity2, a.title AS t1, b.title AS t2 FROM w3 JOIN pg a ON a.page_id = w3.page1 JOIN pg b ON b.page_id = w3.page2)", *_WALKS3))
+def qa_from_walks_3hop(spark, sf):
+    """A question for every three-chunk walk, its template drawn by the digest of the walk's key."""
+    walks = graph.three_hop_walks(kg.mentions(spark, sf), kg.chunks(spark, sf).where("page_id is not null"))
+    pg = kg.pages(spark, sf).select("page_id", "title")
+    named = walks.join(pg.select(F.col("page_id").alias("page1"), F.col("title").alias("t1")), "page1").join(pg.select(F.col("page_id").alias("page2"), F.col("title").alias("t2")), "page2")
+    key = F.concat_ws("|", "page1", "entity1", "entity2", "page2")
+    template = F.get(F.array(*map(F.lit, L.THREE_HOP_QUESTIONS)), (F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("bigint") % 3).cast("int"))
+    return named.select(key.alias("walk_key"), filled(template, entity1=F.col("entity1"), entity2=F.col("entity2"), page1=F.col("t1"), page2=F.col("t2")).alias("question"))
 
 
 @query(with_kg("SELECT entity, min(chunk_id) AS chunk_id FROM mn GROUP BY entity HAVING count(*) = 1"))
@@ -261,9 +339,28 @@ def gold_intersection(spark, sf):
     return ps.select(F.col("l_suppkey").alias("x"), "l_partkey").join(ps.select(F.col("l_suppkey").alias("y"), "l_partkey"), "l_partkey").where("x < y").groupBy("x", "y").agg(F.count("*").alias("common"))
 
 
-@query("SELECT o_custkey AS custkey, min(o_orderdate) AS first_after FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1")
+@query("""SELECT centre, op, node AS answer, year FROM (
+  SELECT o_custkey AS centre, op, o_orderkey AS node, year(o_orderdate) AS year, row_number() OVER (PARTITION BY o_custkey, op ORDER BY CASE WHEN op IN ('>', '>=') THEN year(o_orderdate) ELSE -year(o_orderdate) END, o_orderkey) AS r
+  FROM orders, unnest(['>', '>=', '<', '<=', '=']) AS u(op)
+  WHERE CASE op WHEN '>' THEN year(o_orderdate) > 1996 WHEN '>=' THEN year(o_orderdate) >= 1996 WHEN '<' THEN year(o_orderdate) < 1996 WHEN '<=' THEN year(o_orderdate) <= 1996 ELSE year(o_orderdate) = 1996 END) WHERE r = 1""")
 def gold_temporal(spark, sf):
-    return table(spark, sf, "orders").where("o_orderdate >= timestamp '1997-01-01'").groupBy(F.col("o_custkey").alias("custkey")).agg(F.min("o_orderdate").alias("first_after"))
+    """The event next to 1996 of every customer, for each way to compare years."""
+    events = table(spark, sf, "orders").select(F.col("o_custkey").alias("centre"), F.col("o_orderkey").alias("node"), F.year("o_orderdate").alias("year"))
+    out = None
+    for op in (">", ">=", "<", "<=", "="):
+        rows = graph.temporal_neighbour(events, op, 1996).select("centre", F.lit(op).alias("op"), F.col("node").alias("answer"), "year")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+@query("WITH " + _RELATIONS + """, k AS (SELECT * FROM (VALUES ('bridge_2hop', 'BORN_IN,LOCATED_IN'), ('bridge_3hop', 'CREATED_BY,LOCATED_IN,LOCATED_IN')) AS t(reasoning, path))
+  SELECT k.reasoning, a.src AS entity, b.dst AS answer FROM k JOIN rel a ON a.rel_type = 'BORN_IN' JOIN rel b ON b.src = a.dst AND b.rel_type = 'LOCATED_IN' WHERE k.reasoning = 'bridge_2hop'
+  UNION SELECT k.reasoning, a.src, c.dst FROM k JOIN rel a ON a.rel_type = 'CREATED_BY' JOIN rel b ON b.src = a.dst AND b.rel_type = 'LOCATED_IN' JOIN rel c ON c.src = b.dst AND c.rel_type = 'LOCATED_IN' WHERE k.reasoning = 'bridge_3hop'
+  UNION SELECT 'intersection', a.dst || ' & ' || b.dst, a.src FROM rel a JOIN rel b ON a.src = b.src AND a.dst < b.dst WHERE a.rel_type = 'CREATED_BY' AND b.rel_type = 'CREATED_BY'""")
+def gold_generated(spark, sf):
+    """Questions of each reasoning type made from relation paths, with their answers."""
+    r = _relations(spark, sf)
+    return graph.gold_answers(r, {"bridge_2hop": ("BORN_IN", "LOCATED_IN"), "bridge_3hop": ("CREATED_BY", "LOCATED_IN", "LOCATED_IN")}, {"intersection": "CREATED_BY"})
 
 
 @query("SELECT n_name AS nation, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building, count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS machinery, CASE WHEN count(*) FILTER (WHERE c_mktsegment = 'BUILDING') > count_if(c_mktsegment = 'MACHINERY') THEN 'BUILDING' ELSE 'MACHINERY' END AS winner FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -277,25 +374,31 @@ def components(spark, sf):
     return connected_components(kg.links(spark, sf))
 
 
-@query(None)
+@query(with_kg("SELECT entity, community FROM co", *community_cte()))
 def communities(spark, sf):
-    edges = graph.cooccurrence(kg.mentions(spark, sf))
-    return graph.numbered_communities(graph.label_propagation(edges))
+    return kg.communities(spark, sf)
+
+
+_COMMUNITY_ROWS = (
+    "cr AS (SELECT co.community, co.entity, en.label, row_number() OVER (PARTITION BY co.community ORDER BY co.entity) AS i FROM co JOIN en ON en.entity = co.entity)",
+    "cn AS (SELECT community, count(*) AS member_count, list(entity || ' (' || label || ')' ORDER BY entity) FILTER (WHERE i <= 20) AS names FROM cr GROUP BY 1)",
+    "cx AS (SELECT community, string_agg(passage, ' | ' ORDER BY chunk_id) AS passages FROM (SELECT community, c.chunk_id, left(ch.text, 300) AS passage, row_number() OVER (PARTITION BY community ORDER BY c.chunk_id) AS j FROM (SELECT DISTINCT cr.community, mn.chunk_id FROM cr JOIN mn ON mn.entity = cr.entity WHERE cr.i <= 40) c JOIN ch ON ch.chunk_id = c.chunk_id) WHERE j <= 5 GROUP BY 1)",
+)
 
 
-@query(None)
+@query(with_kg("SELECT format('community_{:05d}', cn.community) AS community_key, cn.member_count, array_to_string(cn.names, ', ') AS top_entities, cx.passages, array_to_string(cn.names[1:10], ', ') AS summary FROM cn LEFT JOIN cx ON cx.community = cn.community", *community_cte(), *_COMMUNITY_ROWS))
 def community_context(spark, sf):
     """Size, up to 20 names, up to 5 passages of 300 characters and a summary of the first 10 names, per community."""
-    found = graph.numbered_communities(graph.label_propagation(graph.cooccurrence(kg.mentions(spark, sf))))
-    labels = kg.entities(spark, sf)
-    named = found.join(labels, "entity")
+    named = kg.communities(spark, sf).join(kg.entities(spark, sf), "entity")
     w = Window.partitionBy("community").orderBy("entity")
     ranked = named.withColumn("i", F.row_number().over(w))
-    names = ranked.groupBy("community").agg(F.count("*").alias("member_count"), F.array_sort(F.collect_set(F.when(F.col("i") <= 20, F.concat(F.col("entity"), F.lit(" ("), F.col("label"), F.lit(")"))))).alias("top_entities"))
-    passages = ranked.where("i <= 40").join(kg.mentions(spark, sf), "entity").select("community", "chunk_id").distinct()
+    shown = F.when(F.col("i") <= 20, F.struct("entity", F.concat(F.col("entity"), F.lit(" ("), F.col("label"), F.lit(")")).alias("s")))
+    names = ranked.groupBy("community").agg(F.count("*").alias("member_count"), F.transform(F.array_sort(F.collect_set(shown)), lambda x: x["s"]).alias("names"))
+    reached = ranked.where("i <= 40").join(kg.mentions(spark, sf), "entity").select("community", "chunk_id").distinct().join(kg.chunks(spark, sf).select("chunk_id", F.left("text", F.lit(300)).alias("passage")), "chunk_id")
     p = Window.partitionBy("community").orderBy("chunk_id")
-    texts = passages.withColumn("j", F.row_number().over(p)).where("j <= 5").join(kg.chunks(spark, sf).select("chunk_id", F.left("text", F.lit(300)).alias("passage")), "chunk_id").groupBy("community").agg(F.array_sort(F.collect_list("passage")).alias("passages"))
-    return names.join(texts, "community", "left").withColumn("summary", F.array_join(F.slice("top_entities", 1, 10), ", ")).withColumn("community_key", F.format_string("community_%05d", F.col("community").cast("int")))
+    texts = reached.withColumn("j", F.row_number().over(p)).where("j <= 5").groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "passage"))), lambda x: x["passage"]), " | ").alias("passages"))
+    out = names.join(texts, "community", "left")
+    return out.select(F.format_string("community_%05d", F.col("community").cast("int")).alias("community_key"), "member_count", F.array_join("names", ", ").alias("top_entities"), "passages", F.array_join(F.slice("names", 1, 10), ", ").alias("summary"))
 
 
 @query(with_kg("SELECT p.title, x.page_id IS NULL AS stub FROM (SELECT DISTINCT trim(t) AS title FROM (SELECT unnest(source_pages) AS t FROM qa_pairs) WHERE trim(t) <> '') p LEFT JOIN (SELECT title, min(page_id) AS page_id FROM pg GROUP BY title) x ON x.title = p.title"))

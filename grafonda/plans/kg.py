@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grafonda.functions.text import collapse
-from grafonda.session import table
+from grafonda.operators import graph
+from grafonda.operators import retrieval as R
+from grafonda.session import built, table
 
 #: name -> (function, SQL or None), filled by the modules of this folder
 REGISTRY: dict[str, tuple] = {}
@@ -34,9 +36,18 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per chunk without its vector: only the text columns are read."""
+    """One row per chunk without its vector, the first of the rows given under its id: only the text columns are read."""
     df = table(spark, sf, "chunks").select("chunk_id", "page_id", "seq", "section", "text")
-    return df.where("chunk_id is not null").groupBy("chunk_id").agg(F.min("page_id").alias("page_id"), F.min("seq").alias("seq"), F.min("section").alias("section"), F.min("text").alias("text"))
+    first = F.min(F.struct(*(x for c in ("page_id", "seq", "section", "text") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))))).alias("r")
+    return df.where("chunk_id is not null").groupBy("chunk_id").agg(first).select("chunk_id", "r.page_id", "r.seq", "r.section", "r.text")
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc, page_id, seq, embedding): the latest vector of every chunk, if it has 64 finite values that are not all zero."""
+    df = table(spark, sf, "chunks").select(F.col("chunk_id").alias("doc"), "page_id", "seq", "embedding", "embedded_at")
+    last = F.max(F.struct(F.col("embedded_at").isNotNull().alias("t"), "embedded_at", "embedding", "page_id", "seq")).alias("r")
+    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    return df.where("doc is not null").groupBy("doc").agg(last).select("doc", "r.page_id", "r.seq", "r.embedding").where((F.size("embedding") == 64) & sound)
 
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,10 +65,12 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf: str) -> DataFrame:
-    """(src, dst) distinct page ids: pages whose titles stand together behind a question, first to second."""
-    named = table(spark, sf, "qa_pairs").where("size(source_pages) >= 2").select(F.trim(F.col("source_pages")[0]).alias("a"), F.trim(F.col("source_pages")[1]).alias("b"))
+    """(src, dst) distinct page ids: pages whose titles follow one another behind a question, each to the next."""
+    titles = F.col("source_pages")
+    steps = F.transform(F.slice(titles, 2, F.size(titles)), lambda t, i: F.struct(F.trim(F.get(titles, i)).alias("a"), F.trim(t).alias("b")))
+    named = table(spark, sf, "qa_pairs").where("size(source_pages) >= 2").select(F.inline(steps))
     p = pages(spark, sf).select("page_id", "title")
-    return named.join(p.select(F.col("page_id").alias("src"), F.col("title").alias("a")), "a").join(p.select(F.col("page_id").alias("dst"), F.col("title").alias("b")), "b").select("src", "dst").where("src <> dst").distinct()
+    return named.distinct().join(p.select(F.col("page_id").alias("src"), F.col("title").alias("a")), "a").join(p.select(F.col("page_id").alias("dst"), F.col("title").alias("b")), "b").select("src", "dst").where("src <> dst").distinct()
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,6 +78,44 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).where("try_cast(page_id as bigint) % 100 = 0 and title <> ''").select(F.col("page_id").alias("query_id"), F.col("title").alias("question"))
 
 
+def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, embedding): a question's vector, here that of its page's first chunk that has one."""
+    v = vectors(spark, sf).select(F.col("page_id").alias("query_id"), "seq", "doc", "embedding")
+    lead = v.join(questions(spark, sf).select("query_id"), "query_id", "left_semi").groupBy("query_id").agg(F.min_by("embedding", F.struct(F.col("seq").isNull(), "seq", "doc")).alias("embedding"))
+    return lead
+
+
+def names(spark: SparkSession, sf: str) -> DataFrame:
+    """(entity, text): what an entity is searched by, its name and, where the registry holds it, its aliases."""
+    reg = table(spark, sf, "resolved_entities").select(F.lower(collapse(F.col("canonical_name"))).alias("entity"), F.explode("aliases").alias("alias")).where("entity <> '' and trim(alias) <> ''").distinct()
+    also = reg.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set("alias")), " ").alias("also"))
+    return mentions(spark, sf).select("entity").distinct().join(also, "entity", "left").select("entity", F.concat_ws(" ", "entity", "also").alias("text"))
+
+
+_SEARCHED = {
+    "chunk": lambda spark, sf: chunks(spark, sf).select(F.col("chunk_id").alias("doc"), "text"),
+    "page": lambda spark, sf: pages(spark, sf).select(F.col("page_id").alias("doc"), F.concat("title", F.lit(" "), "summary").alias("text")),
+    "entity": lambda spark, sf: names(spark, sf).select(F.col("entity").alias("doc"), "text"),
+}
+
+
+def search(spark: SparkSession, sf: str, what: str) -> DataFrame:
+    """BM25 hits of all questions over chunks, pages or entities; posting lists are written once and read by term."""
+    index = built(spark, sf, f"{what}_postings", lambda: R.index_of(_SEARCHED[what](spark, sf)), "bucket")
+    size = built(spark, sf, f"{what}_size", lambda: R.corpus_size(_SEARCHED[what](spark, sf), F.col("text")))
+    return R.bm25(questions(spark, sf), index, size)
+
+
+#: rounds of label propagation that the SQL of the community queries writes out; labels that settle earlier stay as they are
+ROUNDS = 8
+
+
+def communities(spark: SparkSession, sf: str) -> DataFrame:
+    """(entity, community) of the co-occurrence graph, found once a session."""
+    edges = lambda: graph.cooccurrence(mentions(spark, sf))
+    return built(spark, sf, "communities", lambda: graph.numbered_communities(graph.label_propagation(edges(), ROUNDS)))
+
+
 CTE = r"""
 pg AS (
   SELECT page_id, title, url, summary FROM (
@@ -72,7 +123,8 @@ pg AS (
            row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC NULLS LAST, trim(title) NULLS LAST, url NULLS LAST, coalesce(summary, '') NULLS LAST) AS r
     FROM pages WHERE id IS NOT NULL) WHERE r = 1
 ), ch AS (
-  SELECT chunk_id, min(page_id) AS page_id, min(seq) AS seq, min(section) AS section, min(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id
+  SELECT chunk_id, page_id, seq, section, text FROM (
+    SELECT chunk_id, page_id, seq, section, text, row_number() OVER (PARTITION BY chunk_id ORDER BY page_id NULLS LAST, seq NULLS LAST, section NULLS LAST, text NULLS LAST) AS r FROM chunks WHERE chunk_id IS NOT NULL) WHERE r = 1
 ), mn AS (
   SELECT DISTINCT chunk_id, entity FROM (SELECT chunk_id, lower(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) AS entity FROM ner_mentions) WHERE chunk_id IS NOT NULL AND entity <> ''
 ), en AS (
@@ -81,7 +133,7 @@ pg AS (
       SELECT lower(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) AS entity, nullif(entity_type, 'Unknown') AS t FROM ner_mentions) WHERE entity <> '' GROUP BY entity, t)
   GROUP BY entity
 ), lk AS (
-  SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM (SELECT trim(source_pages[1]) AS a, trim(source_pages[2]) AS b FROM qa_pairs WHERE len(source_pages) >= 2) q
+  SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM (SELECT DISTINCT trim(source_pages[i]) AS a, trim(source_pages[i + 1]) AS b FROM qa_pairs, unnest(range(1, len(source_pages))) AS u(i)) q
   JOIN pg a ON a.title = q.a JOIN pg b ON b.title = q.b WHERE a.page_id <> b.page_id
 ), qs AS (
   SELECT page_id AS query_id, title AS question FROM pg WHERE try_cast(page_id AS BIGINT) % 100 = 0 AND title <> ''
@@ -100,5 +152,30 @@ def bm25_cte(name: str, docs: str, doc: str, text: str) -> str:
   FROM {name}_q q JOIN {name}_t t ON t.term = q.term JOIN {name}_p p ON p.term = q.term CROSS JOIN {name}_n n GROUP BY q.query_id, p.doc)"""
 
 
+#: valid vectors of chunks and the questions' vectors
+VECTOR_CTE = (
+    """cv AS MATERIALIZED (SELECT doc, page_id, seq, e FROM (SELECT chunk_id AS doc, page_id, seq, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY chunk_id ORDER BY embedded_at DESC NULLS LAST, embedding DESC NULLS LAST, page_id DESC NULLS LAST, seq DESC NULLS LAST) AS r FROM chunks WHERE chunk_id IS NOT NULL)
+      WHERE r = 1 AND len(e) = 64 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(e, lambda x: x <> 0)) > 0)""",
+    "qv AS (SELECT query_id, e AS q FROM (SELECT qs.query_id, cv.e, row_number() OVER (PARTITION BY qs.query_id ORDER BY cv.seq NULLS LAST, cv.doc) AS r FROM cv JOIN qs ON qs.query_id = cv.page_id) WHERE r = 1)",
+)
+#: the entities as searched: name and aliases
+NAMES_CTE = r"""nm AS (SELECT m.entity, concat_ws(' ', m.entity, a.also) AS text FROM (SELECT DISTINCT entity FROM mn) m LEFT JOIN (
+  SELECT entity, string_agg(alias, ' ' ORDER BY alias) AS also FROM (SELECT DISTINCT lower(trim(regexp_replace(canonical_name, '[\s\p{Z}]+', ' ', 'g'))) AS entity, unnest(aliases) AS alias FROM resolved_entities) WHERE entity <> '' AND trim(alias) <> '' GROUP BY 1) a USING (entity))"""
+
+
+def community_cte() -> tuple[str, ...]:
+    """CTEs up to co(entity, community): label propagation written out round by round."""
+    out = [
+        "ed AS MATERIALIZED (SELECT a.entity AS a, b.entity AS b, count(*) AS w FROM mn a JOIN mn b ON a.chunk_id = b.chunk_id AND a.entity <> b.entity GROUP BY 1, 2)",
+        "ow AS MATERIALIZED (SELECT a AS node, max(w) AS w FROM ed GROUP BY 1)",
+        "l0 AS MATERIALIZED (SELECT node, node AS label FROM ow)",
+    ]
+    for i in range(ROUNDS):
+        votes = f"SELECT ed.a AS node, l.label, ed.w FROM ed JOIN l{i} l ON l.node = ed.b UNION ALL SELECT l.node, l.label, ow.w FROM l{i} l JOIN ow ON ow.node = l.node"
+        out.append(f"l{i + 1} AS MATERIALIZED (SELECT node, label FROM (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY sum(w) DESC, label) AS r FROM ({votes}) GROUP BY node, label) WHERE r = 1)")
+    out.append(f"co AS MATERIALIZED (SELECT node AS entity, community FROM l{ROUNDS} JOIN (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS community FROM l{ROUNDS} GROUP BY label HAVING count(*) >= 3) USING (label))")
+    return tuple(out)
+
+
 def with_kg(body: str, *more: str) -> str:
     return "WITH " + CTE + "".join(", " + m for m in more) + "\n" + body

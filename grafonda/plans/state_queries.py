@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from grafonda.functions import text as T
 from grafonda.operators import metrics as M
+from grafonda.operators import quality as Q
 from grafonda.operators import state as S
 from grafonda.plans import kg
 from grafonda.plans.kg import query, with_kg
+from grafonda.plans.text_queries import _ENTITIES_OF, _RESTED
 from grafonda.session import table
 
 _QA = "qa AS (SELECT qa_id, any_value(question) AS question, any_value(answer) AS answer, any_value(question_type) AS question_type, any_value(evidence_chunk_ids) AS ev, any_value(source_pages) AS sp, any_value(hops) AS hops FROM qa_pairs WHERE qa_id IS NOT NULL GROUP BY qa_id)"
@@ -65,7 +67,10 @@ def metric_context_overlap(spark, sf):
     return j.where(F.size(T.terms(F.col("question"))) > 0).select("qa_id", F.round(o, 6).alias("overlap"), (o >= 0.5).alias("hit"))
 
 
-@query(None)
+_BARE = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
+
+
+@query(with_kg("SELECT qa_id, coalesce(arg_min(r, gi) FILTER (WHERE r IS NOT NULL), 0) AS rank FROM (SELECT qa_id, gi, min(CASE WHEN len(g) > 0 AND len(list_intersect(g, c)) / len(g) >= 0.6 THEN place END) AS r FROM (SELECT gd.qa_id, gi, list_distinct(list_filter(string_split(" + _BARE.format("gd.golds[gi]") + ", ' '), lambda t: t <> '')) AS g, x.place, string_split(" + _BARE.format("x.text") + ", ' ') AS c FROM gd, unnest(range(1, greatest(len(golds), 1) + 1)) AS u(gi) JOIN (SELECT qa_id, text, row_number() OVER (PARTITION BY qa_id ORDER BY pos, text) AS place FROM ex) x ON x.qa_id = gd.qa_id) GROUP BY 1, 2) GROUP BY qa_id", _QA, _GOLDS, _EV))
 def metric_answer_in_context(spark, sf):
     """Rank of the evidence that holds a title behind the question, title by title."""
     j = _golds(spark, sf).join(_evidence(spark, sf), "qa_id")
@@ -188,34 +193,109 @@ def gauge_windows(spark, sf):
     return table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query(None)
+@query("WITH " + _QA + """, o AS (SELECT qa_id, list_filter(coalesce(ev, []), lambda c: c IS NOT NULL) AS e FROM qa)
+  SELECT qa_id, s AS score, s >= 0.5 AS sufficient FROM (SELECT qa_id, round(CASE WHEN len(e) = 0 THEN 0.0 ELSE least(1.0, least(1.0, len(list_distinct(e)) / 3.0) + least(0.3, len(e) * 0.1)) END, 6) AS s FROM o)""")
 def sufficiency(spark, sf):
     """Evidence of every question judged as an agent would judge its observations."""
     e = _qa(spark, sf).select("qa_id", F.transform(F.coalesce("ev", F.array().cast("array<string>")), lambda c: F.concat(F.lit('[{"chunk_id": "'), c, F.lit('"}]'))).alias("obs"))
     return e.select("qa_id", M.sufficiency(F.col("obs")).alias("s")).select("qa_id", "s.score", "s.sufficient")
 
 
-@query("WITH " + _QA + """, st AS (SELECT qa_id, unnest(['bước 1: tìm ' || coalesce(sp[1], '?'), 'bước 2: đối chiếu ' || coalesce(sp[2], '?')]) AS step, unnest([1, 2]) AS i FROM qa WHERE hops = 2) SELECT qa_id, i AS step_no, step FROM st""")
+# Sub-questions of each kind of reasoning.
+_STEPS = {
+    "bridge_2hop": ("What is {entity1} connected to via {rel1}?", "What is [answer1] connected to via {rel2}?"),
+    "intersection": ("What entities are related to {entity1} via {rel1}?", "What entities are related to {entity2} via {rel2}?", "Which entity appears in both [answer1] and [answer2]?"),
+    "temporal": ("What events involve {entity1}?", "Which of those events occurred {temporal_constraint}?"),
+}
+
+
+@query("SELECT 'C' || c_custkey AS id, i AS step_no, CASE i WHEN 1 THEN 'What is C' || c_custkey || ' connected to via BORN_IN?' ELSE 'What is [answer1] connected to via LOCATED_IN?' END AS question, CASE i WHEN 1 THEN n_name ELSE r_name END AS answer FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey, unnest([1, 2]) AS u(i)")
 def decomposition(spark, sf):
-    """Two-step questions taken apart: a step per page."""
-    q = _qa(spark, sf).where("hops = 2")
-    steps = F.array(F.concat(F.lit("bước 1: tìm "), F.coalesce(F.get("sp", F.lit(0)), F.lit("?"))), F.concat(F.lit("bước 2: đối chiếu "), F.coalesce(F.get("sp", F.lit(1)), F.lit("?"))))
-    return q.select("qa_id", F.posexplode(steps).alias("i", "step")).select("qa_id", (F.col("i") + 1).alias("step_no"), "step")
+    """Two-hop questions over relations taken apart: a sub-question and its answer a hop."""
+    c, n, r = table(spark, sf, "customer"), table(spark, sf, "nation"), table(spark, sf, "region")
+    paths = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), "n_name", "r_name")
+    given = {"entity1": F.col("id"), "rel1": F.lit("BORN_IN"), "rel2": F.lit("LOCATED_IN")}
+    asked = F.array(*(T.filled(F.lit(q), **given) for q in _STEPS["bridge_2hop"]))
+    steps = F.arrays_zip(asked.alias("question"), F.array("n_name", "r_name").alias("answer"))
+    return paths.select("id", F.posexplode(steps).alias("i", "s")).select("id", (F.col("i") + 1).alias("step_no"), F.col("s")["question"].alias("question"), F.col("s")["answer"].alias("answer"))
+
 
+# What surrounds a rejected answer.
+_BEFORE, _AFTER = "Based on the schema, here is the appropriate query:\n\n```sql\n", "\n```\n\nHope this helps! Feel free to ask if you have more questions."
+_ANSWER = "SELECT answer FROM walks WHERE walk_id = '{walk}'"
 
-@query("WITH " + _QA + """ SELECT qa_id, question AS prompt, answer AS chosen, CASE i WHEN 1 THEN 'Dĩ nhiên rồi! ' || answer || ' Hy vọng điều này hữu ích.' ELSE replace(answer, 'năm', 'tháng') END AS rejected, i AS variant FROM qa, unnest([1, 2]) AS u(i) WHERE question IS NOT NULL AND answer IS NOT NULL""")
+
+@query("WITH " + _QA + ", c AS (SELECT qa_id, question, 'SELECT answer FROM walks WHERE walk_id = ''' || qa_id || '''' AS q FROM qa WHERE question IS NOT NULL) SELECT qa_id, i AS variant, 'Generate a query to answer: ' || question AS prompt, q AS chosen, CASE i WHEN 1 THEN '" + _BEFORE + "' || q || '" + _AFTER + "' ELSE CASE ('0x' || substr(md5(qa_id), 1, 6))::BIGINT % 3 WHEN 0 THEN regexp_replace(q, 'SELECT .+ FROM', 'SELECT count(*) AS answer FROM') WHEN 1 THEN regexp_replace(q, '''[^'']*''', '''PLACEHOLDER''') ELSE q || ' UNION SELECT name FROM nodes LIMIT 1' END END AS rejected FROM c, unnest([1, 2]) AS u(i)")
 def preference_pairs(spark, sf):
-    """Two pairs a question: the answer against a padded and against a changed one."""
-    q = _qa(spark, sf).where("question is not null and answer is not null")
-    variants = F.array(F.struct(F.lit(1).alias("variant"), F.concat(F.lit("Dĩ nhiên rồi! "), F.col("answer"), F.lit(" Hy vọng điều này hữu ích.")).alias("rejected")), F.struct(F.lit(2).alias("variant"), F.replace(F.col("answer"), F.lit("năm"), F.lit("tháng")).alias("rejected")))
-    return q.select("qa_id", F.col("question").alias("prompt"), F.col("answer").alias("chosen"), F.explode(variants).alias("v")).select("qa_id", "prompt", "chosen", "v.rejected", "v.variant")
+    """Two pairs a question: its query against the same wrapped in talk, and against a changed one that no longer answers it."""
+    q = _qa(spark, sf).where("question is not null").select("qa_id", "question", T.filled(F.lit(_ANSWER), walk=F.col("qa_id")).alias("q"))
+    pick = F.conv(F.substring(F.md5("qa_id"), 1, 6), 16, 10).cast("bigint") % 3
+    changed = F.when(pick == 0, F.regexp_replace("q", "SELECT .+ FROM", "SELECT count(*) AS answer FROM")).when(pick == 1, F.regexp_replace("q", "'[^']*'", "'PLACEHOLDER'")).otherwise(F.concat("q", F.lit(" UNION SELECT name FROM nodes LIMIT 1")))
+    variants = F.array(F.struct(F.lit(1).alias("variant"), F.concat(F.lit(_BEFORE), F.col("q"), F.lit(_AFTER)).alias("rejected")), F.struct(F.lit(2).alias("variant"), changed.alias("rejected")))
+    return q.select("qa_id", F.concat(F.lit("Generate a query to answer: "), F.col("question")).alias("prompt"), F.col("q").alias("chosen"), F.explode(variants).alias("v")).select("qa_id", "v.variant", "prompt", "chosen", "v.rejected")
+
+
+def _template_sql() -> str:
+    when = " ".join(f"WHEN regexp_matches(question, '{p}') THEN '{n}'" for p, n in T.QUESTION_PATTERNS)
+    return f"CASE {when} WHEN regexp_matches(lower(question), '{T._RELATING}') AND len(names) >= 2 THEN 'two_entity_intersection' WHEN regexp_matches(lower(question), '{T._RELATING}') THEN 'multi_hop_entity_bridge' WHEN len(names) > 0 THEN 'find_entity' END"
+
 
+def _first_sql() -> str:
+    when = " ".join(f"WHEN regexp_matches(question, '{p}') THEN trim(regexp_extract(question, '{p}', 1))" for p, _ in T.QUESTION_PATTERNS)
+    return f"CASE {when} WHEN len(names) > 0 THEN names[1] END"
 
-@query("WITH " + _QA + r""" SELECT qa_id, CASE WHEN regexp_matches(question, '^Ai ') THEN 'who' WHEN regexp_matches(question, '^(Vì sao|Tại sao) ') THEN 'why' WHEN regexp_matches(question, '^Bao nhiêu ') THEN 'count' WHEN regexp_matches(question, '^Từ .* đến ') THEN 'path' WHEN regexp_matches(question, '^Giữa .* và ') THEN 'compare' WHEN regexp_matches(question, '^Theo ') THEN 'source' WHEN regexp_matches(question, '^Hãy nêu ') THEN 'list' WHEN regexp_matches(question, '^Điều gì nối ') THEN 'bridge' ELSE 'fallback' END AS template FROM qa WHERE question IS NOT NULL""")
+
+@query("SELECT qa_id, " + _template_sql() + " AS template, " + _first_sql() + " AS parameter FROM (SELECT qa_id, question, " + _ENTITIES_OF + " AS names FROM " + _RESTED + ")")
 def text2query_templates(spark, sf):
-    """Query template of a question by its opening."""
-    kinds = (("^Ai ", "who"), ("^(Vì sao|Tại sao) ", "why"), ("^Bao nhiêu ", "count"), ("^Từ .* đến ", "path"), ("^Giữa .* và ", "compare"), ("^Theo ", "source"), ("^Hãy nêu ", "list"), ("^Điều gì nối ", "bridge"))
-    out = F.when(F.lit(False), F.lit(""))
-    for pattern, name in kinds:
-        out = out.when(F.col("question").rlike(pattern), name)
-    return _qa(spark, sf).where("question is not null").select("qa_id", out.otherwise("fallback").alias("template"))
+    """The query template of every question and its first parameter."""
+    q = table(spark, sf, "qa_pairs").where("question is not null").select("qa_id", "question").distinct()
+    return q.select("qa_id", T.question_template(F.col("question")).alias("t")).select("qa_id", F.col("t.template").alias("template"), F.col("t.first").alias("parameter"))
+
+
+@query(None)
+def text2query_pairs(spark, sf):
+    """Question and query text, as pairs to learn from."""
+    q = table(spark, sf, "qa_pairs").where("question is not null").select("qa_id", "question").distinct()
+    t = q.withColumn("t", T.question_template(F.col("question"))).where("t is not null")
+    return t.select("qa_id", "question", T.template_query(F.col("t")).alias("query"))
+
+
+_MATCH = r"""ma AS (SELECT qa_id, question_type, ev IS NULL AS failed, coalesce(len(v) > 0 AND (list_contains(v, nullif(replace(regexp_extract(answer, '([0-9,.]+)', 1), ',', ''), '')) OR contains(said, bare) OR (len(parts) > 1 AND 2 * len(list_filter(parts, lambda p: contains(said, trim(regexp_replace(regexp_replace(lower(p), '[\s\p{Z}]+', ' ', 'g'), '[()（）]', '', 'g'))))) >= len(parts))), false) AS ok FROM (
+  SELECT qa_id, question_type, answer, ev, v, regexp_replace(trim(regexp_replace(lower(array_to_string(v, ' ')), '[\s\p{Z}]+', ' ', 'g')), '[()（）]', '', 'g') AS said, regexp_replace(trim(regexp_replace(lower(answer), '[\s\p{Z}]+', ' ', 'g')), '[()（）]', '', 'g') AS bare, list_filter(list_transform(string_split_regex(answer, '[,，]'), lambda p: trim(p)), lambda p: p <> '') AS parts
+  FROM (SELECT qa_id, question_type, answer, ev, list_filter(coalesce(sp, []), lambda t: t IS NOT NULL) AS v FROM qa)))"""
+
+
+@query("WITH " + _QA + ", " + _MATCH + " SELECT question_type, count(*) AS n, count(*) FILTER (WHERE failed) AS errors, count(*) FILTER (WHERE ok AND NOT failed) AS correct, round(coalesce(count(*) FILTER (WHERE ok AND NOT failed) / nullif(count(*) FILTER (WHERE NOT failed), 0), 0), 6) AS accuracy FROM ma GROUP BY 1")
+def metric_accuracy_by_type(spark, sf):
+    """Answers held against the titles behind the question, by question type; questions without evidence count as failed runs."""
+    q = _qa(spark, sf).withColumn("v", F.filter(F.coalesce("sp", F.array().cast("array<string>")), lambda t: t.isNotNull()))
+    return Q.accuracy_by(q, "question_type", Q.answer_matches(F.col("answer"), F.col("v")), F.col("ev").isNull())
+
+
+@query("WITH " + _QA + ", x AS (SELECT hops, round(avg(CASE WHEN hops > 0 THEN 1.0 / hops ELSE 0 END), 6) AS efficiency, sum(length(question)) AS i, sum(length(answer)) AS o FROM qa WHERE hops IS NOT NULL GROUP BY 1) SELECT hops, efficiency, i AS tokens_read, o AS tokens_written, round((i * 0.8 + o * 4.0) / 1000000, 4) AS cost FROM x")
+def metric_efficiency_cost(spark, sf):
+    """Efficiency by number of steps, and the estimated price of reading the questions and writing the answers, a character a token."""
+    g = _qa(spark, sf).where("hops is not null").groupBy("hops").agg(F.round(F.avg(Q.efficiency(F.col("hops"))), 6).alias("efficiency"), F.sum(F.length("question")).alias("tokens_read"), F.sum(F.length("answer")).alias("tokens_written"))
+    return g.withColumn("cost", Q.token_cost(F.col("tokens_read"), F.col("tokens_written")))
+
+
+@query("WITH " + _QA + " SELECT qa_id, length(r) >= 10 AND r <> question AND length(r) <= 3 * length(question) AS valid FROM (SELECT qa_id, question, replace(question, 'Theo ', '') AS r FROM qa WHERE question IS NOT NULL)")
+def rewrite_validity(spark, sf):
+    q = _qa(spark, sf).where("question is not null")
+    return q.select("qa_id", Q.valid_rewrite(F.col("question"), F.replace("question", F.lit("Theo "), F.lit(""))).alias("valid"))
+
+
+@query("SELECT user_id AS job_id, CASE WHEN max(CASE WHEN s = 'failed' AND ts >= f THEN 1 ELSE 0 END) = 1 THEN 'failed' WHEN min(f) IS NOT NULL THEN 'running' END AS status FROM (SELECT user_id, ts, CASE event_type WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'seen' END AS s, min(ts) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id) AS f FROM events) GROUP BY 1")
+def job_states(spark, sf):
+    """State of every user's job: clicks start it, errors end it, anything else may not follow and is ignored."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.when(F.col("event_type") == "click", "running").when(F.col("event_type") == "error", "failed").otherwise("seen").alias("s"), "ts", "event_id")
+    return Q.job_states(e, "job_id", "s", [F.col("ts"), F.col("event_id")]).select("job_id", "status")
+
+
+@query("SELECT event_type AS channel, count(*) AS n, round(sum(value), 4) AS contribution FROM (SELECT * FROM events WHERE user_id = (SELECT user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1) ORDER BY ts DESC, event_id DESC LIMIT 50) GROUP BY 1")
+def recent_breakdown(spark, sf):
+    """The 50 latest entries of whoever came last, by channel."""
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts", "value")
+    last = e.agg(F.max_by("user_id", F.struct("ts", "event_id")).alias("user_id"))
+    mine = e.join(F.broadcast(last), "user_id").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
+    return mine.groupBy(F.col("event_type").alias("channel")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("contribution"))

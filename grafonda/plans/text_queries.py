@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from grafonda.functions import lexicon as L
 from grafonda.functions import text as T
 from grafonda.functions import udfs
-from grafonda.functions.plainform import nfc
+from grafonda.functions.plainform import nfc, nfkc
+from grafonda.operators import quality as Q
 from grafonda.operators import resolution as RES
 from grafonda.plans import kg
 from grafonda.plans.kg import query, with_kg
@@ -45,17 +46,6 @@ def normalize_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.collapse(nfc("text")).alias("clean"))
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-  '(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/?>', '', 'g'), '\{\{[^}]*\}\}', '', 'g'), '(?i)\[\[(File|Image|Tập tin|Hình|Category|Thể loại|Danh mục):[^\]]*\]\]', '', 'g'), '<[^>]+>', '', 'g'),
-  '(?m)^={2,6}\s*(.+?)\s*={2,6}\s*$', '\1', 'g'), '[\s\p{Z}]+', ' ', 'g'))) AS stripped FROM documents""")
-def strip_markup_basic(spark, sf):
-    """The pattern part of markup stripping, as a digest of the text left."""
-    t = F.col("text")
-    for pattern, to in ((r"(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/?>", ""), (r"\{\{[^}]*\}\}", ""), (r"(?i)\[\[(File|Image|Tập tin|Hình|Category|Thể loại|Danh mục):[^\]]*\]\]", ""), (r"<[^>]+>", ""), (r"(?m)^={2,6}\s*(.+?)\s*={2,6}\s*$", "$1")):
-        t = F.regexp_replace(t, pattern, to)
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.collapse(t)).alias("stripped"))
-
-
 @query(None)
 def strip_markup(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.strip_markup(udfs.strip_templates("text")).alias("clean"))
@@ -66,12 +56,21 @@ def clean_wikitext(spark, sf):
     return table(spark, sf, "documents").select("doc_id", udfs.clean_wikitext("text").alias("clean"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, x, i FROM (SELECT doc_id, regexp_extract_all(text, '\[\[([^\[\]]+)\]\]', 1) AS a FROM documents), unnest(range(1, len(a) + 1)) AS u(i), unnest([a[i]]) AS v(x)),
-  s AS (SELECT doc_id, i, trim(split_part(trim(x), '|', 1)) AS target FROM l)
-  SELECT doc_id, upper(substr(t, 1, 1)) || substr(t, 2) AS target FROM (SELECT doc_id, min(i) AS i, any_value(replace(trim(split_part(target, '#', 1)), '_', ' ')) AS t, lower(target) AS k FROM s
-  WHERE target <> '' AND NOT regexp_matches(lower(target), '^(file|image|category|template|wikipedia|tập tin|hình|thể loại|bản mẫu|wikt|s|q|b|n|v|commons):') GROUP BY doc_id, lower(target))""")
+_MARKED = "(SELECT DISTINCT qa_id, '[[' || array_to_string(source_pages, ' (thành phố)|nơi này]] và [[') || ']]' AS text FROM qa_pairs WHERE qa_id IS NOT NULL AND len(list_filter(source_pages, lambda t: t IS NOT NULL)) = len(source_pages) AND len(source_pages) > 0)"
+
+
+def _marked(spark, sf):
+    """Titles behind a question as links of a text, all but the last with a hint and a display text."""
+    q = table(spark, sf, "qa_pairs").where(F.col("qa_id").isNotNull() & (F.size("source_pages") > 0) & ~F.exists("source_pages", lambda t: t.isNull()))
+    return q.select("qa_id", F.concat(F.lit("[["), F.array_join("source_pages", " (thành phố)|nơi này]] và [["), F.lit("]]")).alias("text")).distinct()
+
+
+@query(rf"""WITH l AS (SELECT qa_id, text, i, a[i] AS x FROM (SELECT qa_id, text, regexp_extract_all(text, '\[\[([^\[\]]+)\]\]', 1) AS a FROM {_MARKED}), unnest(range(1, len(a) + 1)) AS u(i)),
+  s AS (SELECT qa_id, text, i, trim(split_part(trim(x), '|', 1)) AS target FROM l)
+  SELECT qa_id, upper(substr(t, 1, 1)) || substr(t, 2) AS target FROM (SELECT qa_id, text, min_by(replace(trim(split_part(target, '#', 1)), '_', ' '), i) AS t, lower(replace(trim(split_part(target, '#', 1)), '_', ' ')) AS k FROM s
+  WHERE target <> '' AND trim(split_part(target, '#', 1)) <> '' AND NOT regexp_matches(lower(target), '^(file|image|category|template|wikipedia|tập tin|hình|thể loại|bản mẫu|wikt|s|q|b|n|v|commons):') GROUP BY qa_id, text, k)""")
 def extract_links(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(T.wikilinks(F.col("text"))).alias("l")).select("doc_id", F.col("l.target").alias("target"))
+    return _marked(spark, sf).select("qa_id", F.explode(T.wikilinks(F.col("text"))).alias("l")).select("qa_id", F.col("l.target").alias("target"))
 
 
 @query(r"""SELECT chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid
@@ -88,11 +87,18 @@ def _names(spark, sf):
     return table(spark, sf, "ner_mentions").select("text").where("text is not null").distinct()
 
 
-@query(rf"""SELECT text, CASE WHEN regexp_matches(text, '[\s\p{{Z}}]*\(([^)]+)\)[\s\p{{Z}}]*$') AND trim(regexp_replace(text, '[\s\p{{Z}}]*\(([^)]+)\)[\s\p{{Z}}]*$', '')) <> '' THEN trim(regexp_replace(text, '[\s\p{{Z}}]*\(([^)]+)\)[\s\p{{Z}}]*$', '')) ELSE text END AS clean,
-  CASE WHEN regexp_matches(text, '[\s\p{{Z}}]*\(([^)]+)\)[\s\p{{Z}}]*$') AND trim(regexp_replace(text, '[\s\p{{Z}}]*\(([^)]+)\)[\s\p{{Z}}]*$', '')) <> '' THEN trim(regexp_extract(text, '[\s\p{{Z}}]*\(([^)]+)\)[\s\p{{Z}}]*$', 1)) ELSE '' END AS hint FROM {_TEXTS} WHERE NOT regexp_matches(text, '\([^)]*$')""")
+_CUT = "(SELECT text FROM (SELECT DISTINCT text FROM ner_mentions WHERE text IS NOT NULL) UNION SELECT DISTINCT text || ' (thành phố' FROM ner_mentions WHERE text IS NOT NULL UNION SELECT DISTINCT text || ' (sông)' FROM ner_mentions WHERE text IS NOT NULL)"
+_CLOSED, _OPEN = r"[\s\p{Z}]*\(([^)]+)\)[\s\p{Z}]*$", r"[\s\p{Z}]*\(([^)]*)$"
+
+
+@query(f"""SELECT text, CASE WHEN closed AND c <> '' THEN c WHEN NOT closed AND open AND o <> '' THEN o ELSE text END AS clean,
+  CASE WHEN closed AND c <> '' THEN trim(regexp_extract(text, '{_CLOSED}', 1)) WHEN NOT closed AND open AND o <> '' THEN trim(regexp_extract(text, '{_OPEN}', 1)) ELSE '' END AS hint
+  FROM (SELECT text, regexp_matches(text, '{_CLOSED}') AS closed, regexp_matches(text, '{_OPEN}') AS open, trim(regexp_replace(text, '{_CLOSED}', '')) AS c, trim(regexp_replace(text, '{_OPEN}', '')) AS o FROM {_CUT})""")
 def disambiguation(spark, sf):
-    n = _names(spark, sf).where(~F.col("text").rlike(r"\([^)]*$")).withColumn("d", T.disambiguation(F.col("text")))
-    return n.select("text", "d.clean", "d.hint")
+    """Names as found, with a hint behind them, and with one whose bracket is not closed."""
+    n = _names(spark, sf)
+    every = n.union(n.select(F.concat("text", F.lit(" (thành phố")))).union(n.select(F.concat("text", F.lit(" (sông)")))).distinct()
+    return every.withColumn("d", T.disambiguation(F.col("text"))).select("text", "d.clean", "d.hint")
 
 
 def _type_sql(column: str) -> str:
@@ -137,7 +143,17 @@ def ner_simple(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(T.simple_names(F.col("text"))).alias("name"))
 
 
-@query(None)
+_SIMPLE = r"""m AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)(?:$|[^\p{L}\p{N}_])', 1) AS a FROM documents),
+  n AS (SELECT doc_id, i, regexp_replace(a[i], '(\s)\s', '\1', 'g') AS name FROM m, unnest(range(1, len(a) + 1)) AS u(i)),
+  f AS (SELECT doc_id, min(i) AS i, min_by(name, i) AS name FROM n WHERE length(name) >= 3 GROUP BY doc_id, lower(name)),
+  sn AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f)"""
+
+
+@query(f"""WITH {_SIMPLE}, c AS (SELECT doc_id, r - 1 AS pos, trim(regexp_replace(trim(name, ' .,;:!?"''[]{{}}«»'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS name, name AS raw FROM sn WHERE r <= 25),
+  k AS (SELECT doc_id, pos, name, {_type_sql('raw')} AS t FROM c WHERE name <> ''),
+  x AS (SELECT doc_id, pos, name, CASE WHEN {_any('name', L.ORG_SURFACE)} THEN 'Organization' ELSE t END AS type FROM k
+    WHERE NOT (length(name) <= 1 OR (length(name) <= 2 AND NOT contains(trim(name), ' ')) OR (regexp_matches(name, '^\\p{{Ll}}') AND NOT regexp_matches(name, '(?s)^.[\\s\\S]*\\p{{Lu}}')) OR {_any('name', L.NOISE + L.LINK_NOISE)}))
+  SELECT doc_id AS doc, min(pos) AS pos, min_by(name, pos) AS name, min_by(type, pos) AS type FROM x GROUP BY doc_id, lower(name)""")
 def ner_postprocess(spark, sf):
     found = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(T.simple_names(F.col("text"))).alias("pos", "name")).withColumn("type", T.entity_type(F.col("name")))
     return RES.postprocess(found)
@@ -145,17 +161,24 @@ def ner_postprocess(spark, sf):
 
 @query(None)
 def ner_wikilinks(spark, sf):
-    return RES.postprocess(RES.link_entities(table(spark, sf, "documents"), "doc_id", "text"))
+    return RES.postprocess(RES.link_entities(_marked(spark, sf), "qa_id", "text"))
 
 
 _BARE = r"strip_accents(nfc_normalize(trim(regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g'))))"
 
 
-@query(rf"""WITH m AS (SELECT DISTINCT mention_id, text, entity_type, {_BARE} AS k FROM ner_mentions WHERE trim(text) <> '')
-  SELECT k AS entity_key, min_by(text, mention_id) AS canonical_name, coalesce(arg_max(entity_type, mention_id) FILTER (WHERE coalesce(entity_type, 'Unknown') <> 'Unknown'), 'Unknown') AS entity_type, count(*) AS mentions FROM m GROUP BY k""")
+_KEY_OF = r"strip_accents(nfc_normalize(trim(regexp_replace(lower({0}), '[\s\p{{Z}}]+', ' ', 'g'))))"
+_KNOWN = "(VALUES " + ", ".join(f"('{a}', '{c}')" for c, others in L.KNOWN_ALIASES.items() for a in (c, *others)) + ") AS t(alias, canonical)"
+
+
+@query(rf"""WITH s AS (SELECT {_KEY_OF.format('alias')} AS bare, min(canonical) AS canonical FROM {_KNOWN} GROUP BY 1),
+  m AS (SELECT DISTINCT mention_id, text, entity_type, {_BARE} AS bare FROM ner_mentions WHERE trim(text) <> ''),
+  j AS (SELECT m.*, s.canonical, coalesce({_KEY_OF.format('s.canonical')}, m.bare) AS k FROM m LEFT JOIN s USING (bare)),
+  g AS (SELECT k AS entity_key, coalesce(min(canonical), min_by(text, mention_id)) AS canonical_name, coalesce(arg_max(entity_type, mention_id) FILTER (WHERE coalesce(entity_type, 'Unknown') <> 'Unknown'), 'Unknown') AS entity_type, count(*) AS mentions, list_sort(list_distinct(list(text))) AS spellings FROM j GROUP BY k)
+  SELECT entity_key, canonical_name, entity_type, mentions, array_to_string(list_filter(spellings, lambda x: x <> canonical_name), '|') AS aliases FROM g""")
 def entity_resolution(spark, sf):
     m = table(spark, sf, "ner_mentions").select("mention_id", "text", "entity_type").distinct()
-    return RES.resolve(m, "text", "entity_type", "mention_id", aliases={}).select("entity_key", "canonical_name", "entity_type", "mentions")
+    return RES.resolve(m, "text", "entity_type", "mention_id").select("entity_key", "canonical_name", "entity_type", "mentions", F.array_join("aliases", "|").alias("aliases"))
 
 
 @query(with_kg("SELECT DISTINCT ch.chunk_id, e.entity FROM ch JOIN (SELECT DISTINCT ch.page_id, mn.entity FROM mn JOIN ch ON ch.chunk_id = mn.chunk_id) e ON e.page_id = ch.page_id WHERE contains(lower(ch.text), e.entity)"))
@@ -166,11 +189,12 @@ def mentions_containment(spark, sf):
     return ch.join(names, "page_id").where(F.contains("low", "entity")).select("chunk_id", "entity").distinct()
 
 
-@query(with_kg(r"""SELECT mn.chunk_id, mn.entity, (contains(t, e) OR (len(w) >= 2 AND contains(t, array_to_string(w[-2:], ' '))) OR (len(w) >= 3 AND contains(t, w[1]) AND contains(t, w[-1]))) AS grounded
-  FROM (SELECT mn.chunk_id, mn.entity, lower(ch.text) AS t, lower(mn.entity) AS e, string_split(mn.entity, ' ') AS w FROM mn JOIN ch ON ch.chunk_id = mn.chunk_id) mn"""))
+@query(with_kg(r"""SELECT chunk_id, entity, e <> '' AND (contains(t, e) OR (len(w) >= 2 AND contains(t, array_to_string(w[-2:], ' '))) OR (len(w) >= 3 AND contains(t, w[1] || ' ' || w[-1]))) AS grounded
+  FROM (SELECT mn.chunk_id, mn.entity, trim(lower(nfc_normalize(ch.text))) AS t, trim(lower(nfc_normalize(mn.entity))) AS e, string_split(trim(lower(nfc_normalize(mn.entity))), ' ') AS w FROM mn JOIN ch ON ch.chunk_id = mn.chunk_id)"""))
 def mentions_grounded(spark, sf):
     j = kg.mentions(spark, sf).join(kg.chunks(spark, sf).select("chunk_id", "text"), "chunk_id")
-    return j.select("chunk_id", "entity", T.grounded(F.col("entity"), F.col("entity"), F.col("text")).alias("grounded"))
+    name = nfkc("entity")
+    return j.select("chunk_id", "entity", nfkc("text").alias("t"), name.alias("e")).select("chunk_id", "entity", T.grounded(F.col("e"), F.col("e"), F.col("t")).alias("grounded"))
 
 
 @query(r"""SELECT DISTINCT qa_id, trim(regexp_replace(regexp_replace(lower(answer), '[^\p{L}\p{N}_\s]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS spaced, trim(regexp_replace(regexp_replace(lower(answer), '[^\p{L}\p{N}_\s]', '', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS bare,
@@ -181,9 +205,9 @@ def answer_normalizers(spark, sf):
     return table(spark, sf, "qa_pairs").where("answer is not null").select("qa_id", T.answer_spaced(a).alias("spaced"), T.answer_bare(a).alias("bare"), T.answer_untailed(a).alias("untailed"), T.answer_unbracketed(a).alias("unbracketed"), T.answer_collapsed(a).alias("collapsed"), T.first_number(a).alias("number")).distinct()
 
 
-@query(r"SELECT DISTINCT qa_id, length(array_to_string(list_filter(regexp_extract_all(question, '([A-ZÀ-Ỹ][a-zà-ỹ]+(?:\s+[A-ZÀ-Ỹ][a-zà-ỹ]+)*)', 1), lambda x: length(x) > 3), '|')) AS term_length FROM qa_pairs WHERE question IS NOT NULL")
+@query(r"SELECT DISTINCT qa_id, array_to_string(list_filter(regexp_extract_all(question, '([A-ZÀ-Ỹ][a-zà-ỹ]+(?:\s+[A-ZÀ-Ỹ][a-zà-ỹ]+)*)', 1), lambda x: length(x) > 3), '|') AS terms FROM qa_pairs WHERE question IS NOT NULL")
 def key_terms(spark, sf):
-    return table(spark, sf, "qa_pairs").where("question is not null").select("qa_id", F.length(F.array_join(T.key_terms(F.col("question")), "|")).cast("bigint").alias("term_length")).distinct()
+    return table(spark, sf, "qa_pairs").where("question is not null").select("qa_id", F.array_join(T.key_terms(F.col("question")), "|").alias("terms")).distinct()
 
 
 @query("""SELECT 'N' || n_nationkey AS id, 'N' || n_nationkey AS subject, 'LOCATED_IN' AS relation, 'R' || n_regionkey AS object, 1.0::DOUBLE AS confidence FROM nation""")
@@ -194,12 +218,14 @@ def relation_triples(spark, sf):
     return RES.parse_triples(n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"), raw.alias("raw")), "id", "raw")
 
 
-@query(r"""SELECT t.page_title AS title, min(t.page_id) AS page_id FROM chunks_v2 t WHERE t.page_title IN (SELECT title FROM documents) GROUP BY 1
-  UNION ALL SELECT d.title, min(t.page_id) FROM (SELECT DISTINCT title FROM documents WHERE title IS NOT NULL AND title NOT IN (SELECT page_title FROM chunks_v2 WHERE page_title IS NOT NULL)) d JOIN chunks_v2 t ON lower(t.page_title) = lower(d.title) GROUP BY 1""")
+@query(r"""WITH w AS (SELECT DISTINCT upper(trim(title)) AS title FROM pages WHERE trim(title) <> '' AND try_cast(id AS BIGINT) % 2 = 0 UNION SELECT DISTINCT trim(title) FROM pages WHERE trim(title) <> ''),
+  x AS (SELECT w.title, min(c.page_id) AS page_id FROM w JOIN chunks_v2 c ON c.page_title = w.title GROUP BY 1)
+  SELECT * FROM x UNION ALL SELECT w.title, min(c.page_id) FROM w JOIN chunks_v2 c ON lower(c.page_title) = lower(w.title) WHERE w.title NOT IN (SELECT title FROM x) GROUP BY 1""")
 def scan_point_lookup(spark, sf):
-    """Titles looked up exactly, those not found again regardless of case."""
+    """Titles looked up exactly, those not found again regardless of case; half of the titles are asked for in capitals as well."""
     c = table(spark, sf, "chunks_v2").where("page_title is not null").select("page_title", "page_id")
-    wanted = table(spark, sf, "documents").where("title is not null").select("title").distinct()
+    p = table(spark, sf, "pages").select("id", F.trim("title").alias("title")).where("title <> ''")
+    wanted = p.select("title").union(p.where("try_cast(id as bigint) % 2 = 0").select(F.upper("title"))).distinct()
     exact = wanted.join(c, wanted.title == c.page_title).groupBy("title").agg(F.min("page_id").alias("page_id"))
     rest = wanted.join(c.select("page_title").distinct(), wanted.title == F.col("page_title"), "left_anti")
     loose = rest.join(c, F.lower("title") == F.lower("page_title")).groupBy("title").agg(F.min("page_id").alias("page_id"))
@@ -224,21 +250,72 @@ def prompt_rendering(spark, sf):
 
 @query(None)
 def ner_duplicates(spark, sf):
-    """Registry names in sorted order, each with those of the 49 behind it that are alike to 0.85 or more.
-
-    The sort is global: places come from per-range counts, then a band join on blocks of 50 places
-    compares neighbours only.
-    """
-    names = table(spark, sf, "resolved_entities").select(F.lower(T.collapse(F.col("canonical_name"))).alias("name")).where("name <> ''").distinct()
-    ranged = names.repartitionByRange("name").sortWithinPartitions("name").withColumns({"part": F.spark_partition_id(), "i": F.monotonically_increasing_id() % (1 << 33)})
-    from pyspark.sql import Window
-
-    from grafonda.session import materialise
-
-    ranged = materialise(ranged, "sorted")
-    before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = ranged.join(F.broadcast(before), "part").select("name", (F.col("before") + F.col("i")).alias("place"))
-    a = placed.select(F.col("name").alias("name_a"), F.col("place").alias("pa"), F.floor(F.col("place") / 50).alias("block"))
-    b = placed.select(F.col("name").alias("name_b"), F.col("place").alias("pb"), F.explode(F.array(F.floor(F.col("place") / 50), F.floor(F.col("place") / 50) - 1)).alias("block"))
-    near = a.join(b, "block").where("pb > pa and pb - pa < 50").withColumn("ratio", F.round(udfs.gestalt_ratio("name_a", "name_b"), 6))
-    return near.where("ratio >= 0.85").select("name_a", "name_b", "ratio")
+    """Registry names in groups of alike ones, by a sorted neighbourhood of 50 places."""
+    r = table(spark, sf, "resolved_entities").where("trim(canonical_name) <> ''").select(F.col("canonical_name").alias("name"), F.coalesce("entity_type", F.lit("Unknown")).alias("label"))
+    return Q.duplicate_groups(r).withColumn("types", F.array_join("types", ", "))
+
+
+@query(None)
+def ner_fragmentation(spark, sf):
+    """Duplicate groups among the registry's names that are no noise, and their share."""
+    r = table(spark, sf, "resolved_entities").where("trim(canonical_name) <> ''").select(F.col("canonical_name").alias("name"), F.coalesce("entity_type", F.lit("Unknown")).alias("label")).distinct()
+    clean = r.where(~T.is_noise(F.col("name"), links=False))
+    groups = Q.duplicate_groups(clean).agg(F.count("*").alias("duplicate_groups"))
+    return clean.agg(F.count("*").alias("names")).crossJoin(groups).withColumn("fragmentation_rate", F.round(F.col("duplicate_groups") / F.col("names"), 6))
+
+
+_VI = r"'(?:^|[^\p{L}\p{N}_])([A-ZÀ-Ỹ][a-zà-ỹ]+(?:\s+[A-ZÀ-Ỹ][a-zà-ỹ]+){1,5})(?:$|[^\p{L}\p{N}_])'"
+
+
+@query(rf"""SELECT doc_id, min_by(name, i) AS name FROM (SELECT doc_id, i, regexp_replace(a[i], '(\s)\s', '\1', 'g') AS name FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), {_VI}, 1) AS a FROM documents), unnest(range(1, len(a) + 1)) AS u(i)) GROUP BY doc_id, lower(name)""")
+def ner_vietnamese(spark, sf):
+    """Runs of two to six capitalised words, accents included."""
+    return table(spark, sf, "documents").select("doc_id", F.explode(T.vietnamese_names(F.col("text"))).alias("name"))
+
+
+_ENTITIES_OF = r"""CASE WHEN len(regexp_extract_all(rest, '([A-ZÀ-Ỹ][a-zà-ỹ]+(?:\s+[A-ZÀ-Ỹ][a-zà-ỹ]+)*)', 1)) > 0 THEN regexp_extract_all(rest, '([A-ZÀ-Ỹ][a-zà-ỹ]+(?:\s+[A-ZÀ-Ỹ][a-zà-ỹ]+)*)', 1)
+  WHEN len(regexp_extract_all(question, '"([^"]+)"', 1)) > 0 THEN regexp_extract_all(question, '"([^"]+)"', 1)
+  WHEN len(list_filter(string_split(trim(regexp_replace(rest, '[\s\p{Z}]+', ' ', 'g')), ' '), lambda w: w <> '')) > 0 THEN [array_to_string(list_filter(string_split(trim(regexp_replace(rest, '[\s\p{Z}]+', ' ', 'g')), ' '), lambda w: w <> '')[1:3], ' ')] ELSE [] END"""
+_RESTED = f"(SELECT DISTINCT qa_id, question, regexp_replace(trim(question), '(?i)^({T._OPENERS})\\s*', '') AS rest FROM qa_pairs WHERE question IS NOT NULL)"
+
+
+@query(f"SELECT qa_id, array_to_string({_ENTITIES_OF}, '|') AS names FROM {_RESTED}")
+def question_entities(spark, sf):
+    """What each question is about."""
+    return table(spark, sf, "qa_pairs").where("question is not null").select("qa_id", "question").distinct().select("qa_id", F.array_join(T.question_entities(F.col("question")), "|").alias("names"))
+
+
+@query(with_kg(r"""SELECT ch.chunk_id, k.name FROM ch JOIN (
+  SELECT page_id, name FROM (SELECT page_id, key, name, row_number() OVER (PARTITION BY page_id ORDER BY seq NULLS FIRST, chunk_id, i, name) AS r FROM (
+    SELECT page_id, lower(name) AS key, unnest([arg_min({'s': seq, 'c': chunk_id, 'i': i, 'n': name}, (coalesce(seq, -1), chunk_id, i, name))], recursive := true) FROM (
+      SELECT page_id, seq, chunk_id, i, name, row_number() OVER (PARTITION BY chunk_id ORDER BY i) AS q FROM (
+        SELECT page_id, seq, chunk_id, min(i) AS i, min_by(name, i) AS name FROM (SELECT page_id, seq, chunk_id, i, regexp_replace(a[i], '(\s)\s', '\1', 'g') AS name FROM (SELECT page_id, seq, chunk_id, regexp_extract_all(regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)(?:$|[^\p{L}\p{N}_])', 1) AS a FROM ch WHERE page_id IS NOT NULL), unnest(range(1, len(a) + 1)) AS u(i)) WHERE length(name) >= 3 GROUP BY page_id, seq, chunk_id, lower(name))) WHERE q <= 25 GROUP BY page_id, lower(name)) AS z(page_id, key, seq, chunk_id, i, name)) WHERE r <= 25) k ON k.page_id = ch.page_id WHERE contains(lower(ch.text), lower(k.name))"""))
+def backfill_entities(spark, sf):
+    """Names found anywhere on a page in the chunks of the page that hold them."""
+    return RES.backfilled(kg.chunks(spark, sf).where("page_id is not null"))
+
+
+@query(with_kg(r"SELECT entity, label FROM en WHERE label IN ('Person', 'Organization', 'Location', 'Work') OR NOT (length(entity) < 2 OR regexp_matches(entity, '^[0-9,.%\s]+$'))"))
+def noise_cleanup(spark, sf):
+    return RES.without_noise(kg.entities(spark, sf))
+
+
+@query("WITH rel AS (SELECT n_name AS s, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT 'N:' || s AS src, 'LOCATED_IN' AS rel_type, 'R:' || o AS dst, 1.0::DOUBLE AS confidence FROM rel")
+def relation_edges(spark, sf):
+    """Triples given by name, some of them unknown, as edges between entities."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    known = n.select(F.concat(F.lit("N:"), F.col("n_name")).alias("entity_id"), F.col("n_name").alias("name")).unionAll(r.select(F.concat(F.lit("R:"), F.col("r_name")), "r_name"))
+    t = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("subject"), F.lit("LOCATED_IN").alias("relation"), F.col("r_name").alias("object"), F.lit(1.0).alias("confidence"))
+    stray = t.withColumn("object", F.lit("ATLANTIS"))
+    return RES.resolved_triples(t.unionAll(t.withColumn("confidence", F.lit(0.5))).unionAll(stray), known)
+
+
+@query("SELECT count(*) AS entities, sum(len(list_filter(coalesce(aliases, []), lambda a: a IS NOT NULL))) AS aliases FROM resolved_entities")
+def entity_totals(spark, sf):
+    held = F.size(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.isNotNull()))
+    return table(spark, sf, "resolved_entities").agg(F.count("*").alias("entities"), F.sum(held).alias("aliases"))
+
+
+@query("SELECT len(embedding) AS dimension, count(*) AS n FROM chunks WHERE embedding IS NOT NULL GROUP BY 1")
+def vector_dimensions(spark, sf):
+    return table(spark, sf, "chunks").where("embedding is not null").groupBy(F.size("embedding").alias("dimension")).agg(F.count("*").alias("n"))

@@ -7,11 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _LOCAL: list[str] = []
+_BUILT: dict[tuple, DataFrame] = {}
 
 
 def visible_to_workers(spark: SparkSession) -> SparkSession:
@@ -74,19 +76,29 @@ def _remove() -> None:
 atexit.register(_remove)
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back.
+def materialise(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder, partitioned `by` a column if given, and read back.
 
     The plan above starts from files that survive the loss of any executor, with known sizes
     and prunable columns. The table is removed when the driver's Python ends.
     """
     spark = visible_to_workers(df.sparkSession)
     path = f"{shared_dir(spark)}/grafonda/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _WRITTEN.append((spark, path))
     return spark.read.parquet(path)
 
 
+def built(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+    """A table derived from `folder`, written once a session and read by every later query, until a file of the folder changes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    key = (spark.sparkContext.applicationId, folder, name, sum(hash((f.getPath().getName(), f.getModificationTime(), f.getLen())) for f in files))
+    if key not in _BUILT:
+        _BUILT[key] = materialise(make(), name, by)
+    return _BUILT[key]
+
+
 def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for work that is heavy for its bytes, which size-based planning would put into too few tasks."""
     return max(2 * spark.sparkContext.defaultParallelism, -(-rows // per_task))
@@ -96,3 +108,4 @@ def released(spark: SparkSession) -> None:
     """Removes every table written by `materialise` so far; for callers that know their results to be stored."""
     _remove()
     _WRITTEN.clear()
+    _BUILT.clear()

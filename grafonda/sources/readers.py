@@ -107,3 +107,21 @@ def catalogue_of(spark: SparkSession) -> DataFrame:
     """(table_name, column_name, data_type) of all tables and views of the session."""
     rows = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables() for c in spark.catalog.listColumns(t.name)]
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
+
+
+def with_raw_text(rows: DataFrame, raw: DataFrame) -> DataFrame:
+    """`rows(title, ...)` with `raw_text`: the markup of the first article of `raw(id, title, text)` whose title agrees but for case; null where there is none."""
+    first = raw.groupBy(F.lower("title").alias("_k")).agg(F.min_by("text", "id").alias("raw_text"))
+    return rows.withColumn("_k", F.lower("title")).join(first, "_k", "left").drop("_k")
+
+
+def json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row of a JSON object kept in a file; a missing, blank, corrupt or other file gives a row of nulls."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        text = spark.read.text(path, wholetext=True).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("o"))
+        row = text.select("o.*").limit(1)
+        return row if not row.isEmpty() else spark.range(1).select(F.from_json(F.lit("{}"), schema).alias("o")).select("o.*")
+    except AnalysisException:
+        return spark.range(1).select(F.from_json(F.lit("{}"), schema).alias("o")).select("o.*")
