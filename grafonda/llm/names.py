@@ -458,7 +458,7 @@ def link_names(
     columns = "form string, token string, tokens array<struct<t:string,l:long>>, size int, letters long, written long, firsts long, initials string"
     index = spelt.mapInArrow(_token_keys(False), columns)
     index = index.select(F.col("form").alias("name"), "token", F.col("tokens").alias("name_tokens"), F.col("size").alias("name_size"), F.col("letters").alias("name_letters"), F.col("firsts").alias("name_firsts"), F.col("initials").alias("name_initials")).join(names, "name")
-    left = open_.join(typed.select("form"), "form", "left_anti").mapInArrow(_token_keys(True), columns)
+    left = spread(open_.join(typed.select("form"), "form", "left_anti"), 20_000).mapInArrow(_token_keys(True), columns)
     twice = (F.col("name_size") >= 10) & (F.abs(F.col("size") - F.col("name_size")) <= 2) & (F.bit_count(F.col("letters").bitwiseXOR(F.col("name_letters"))) <= 4)
     # of the letters written out, one edit brings in one that the name does not have
     begun = (F.bit_count(F.col("written").bitwiseAND(F.bitwise_not("name_letters"))) <= 1) & (F.bit_count(F.col("firsts").bitwiseAND(F.bitwise_not("name_firsts"))) <= 1)
