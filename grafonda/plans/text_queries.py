@@ -190,7 +190,7 @@ def mentions_containment(spark, sf):
 
 
 @query(with_kg(r"""SELECT chunk_id, entity, e <> '' AND (contains(t, e) OR (len(w) >= 2 AND contains(t, array_to_string(w[-2:], ' '))) OR (len(w) >= 3 AND contains(t, w[1] || ' ' || w[-1]))) AS grounded
-  FROM (SELECT mn.chunk_id, mn.entity, trim(lower(nfc_normalize(ch.text))) AS t, trim(lower(nfc_normalize(mn.entity))) AS e, string_split(trim(lower(nfc_normalize(mn.entity))), ' ') AS w FROM mn JOIN ch ON ch.chunk_id = mn.chunk_id)"""))
+  FROM (SELECT mn.chunk_id, mn.entity, trim(lower(replace(nfc_normalize(ch.text), chr(160), ' '))) AS t, trim(lower(nfc_normalize(mn.entity))) AS e, string_split(trim(lower(nfc_normalize(mn.entity))), ' ') AS w FROM mn JOIN ch ON ch.chunk_id = mn.chunk_id)"""))
 def mentions_grounded(spark, sf):
     j = kg.mentions(spark, sf).join(kg.chunks(spark, sf).select("chunk_id", "text"), "chunk_id")
     name = nfkc("entity")

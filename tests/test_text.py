@@ -67,7 +67,10 @@ def test_uuid5(spark):
 def test_grounded(spark):
     g = T.grounded(F.col("n"), F.col("n"), F.col("t"))
     assert one(spark, g, n="Hồ Chí Minh", t="chủ tịch chí minh")
-    assert one(spark, g, n="Nguyễn Văn Trỗi", t="nguyễn và trỗi")
+    assert one(spark, g, n="Nguyễn Văn Trỗi", t="về nguyễn trỗi")
+    assert not one(spark, g, n="Nguyễn Văn Trỗi", t="nguyễn và trỗi")
+    assert not one(spark, g, n=" ", t="nguyễn")
+    assert not one(spark, T.grounded(F.col("n"), F.col("n"), F.col("t"), True), n="Năm", t="nămx")
     assert one(spark, g, n="Năm", t="nămx")
     assert not one(spark, g, n="Huế", t="Hà Nội")
 
@@ -76,12 +79,24 @@ def test_aliases(spark):
     assert one(spark, T.aliases_in(F.col("n"), F.col("t")), n="Huế", t="Huế (Phú Xuân) và Huế (huế) và Huế (x)") == ["Phú Xuân"]
 
 
-def test_guard(spark):
-    ok = T.is_read_only(F.col("t"))
-    assert one(spark, ok, t="match (a) return a // delete")
-    assert one(spark, ok, t="match (a) where a.offset > 1 return a")
-    assert not one(spark, ok, t="match (a) delete a")
-    assert not one(spark, ok, t="match (a) return a; match (b) return b")
+def test_question_reading(spark):
+    names = T.question_entities(F.col("t"))
+    assert one(spark, names, t="Ai cho Lê Lợi hay Trãi") == ["Lê Lợi", "Trãi"]
+    assert one(spark, names, t='hãy nói "điều này"') == ["điều này"]
+    assert one(spark, names, t="vì sao trời lại mưa to") == ["trời lại mưa"] and one(spark, names, t="") == []
+    t = T.question_template(F.col("t"))
+    assert tuple(one(spark, t, t="Mối quan hệ giữa Huế và Hà Nội")) == ("two_entity_intersection", "Huế", "Hà Nội")
+    assert tuple(one(spark, t, t="Huế là gì"))[:2] == ("find_entity", "Huế")
+    assert "lower('O''Brien')" in one(spark, T.template_query(t), t="O'Brien là ai")
+    assert one(spark, T.vietnamese_names(F.col("t")), t="Lê Lợi, lê lợi và Nguyễn Trãi; Lê Lợi. Huế") == ["Lê Lợi", "Nguyễn Trãi"]
+
+
+def test_patterns(spark):
+    noise = T.is_noise(F.col("t"))
+    for t, want in (("năm 2017", True), ("Trước đây", False), ("trước", True), ("1984", True), ("FC Hà Nội", False), ("Danh sách tỉnh", True), ("Huế", False)):
+        assert one(spark, noise, t=t) is want
+    surface = T.any_match(F.col("t"), T.L.ORG_SURFACE)
+    assert one(spark, surface, t="Hà Nội FC") and one(spark, surface, t="Acme Inc") and not one(spark, surface, t="Lincoln")
 
 
 def test_sentences_and_sections():
@@ -97,6 +112,19 @@ def test_structured_chunks():
     assert udfs.structured_chunks(None, None) == [] and udfs.structured_chunks(" ", "T") == []
 
 
+def test_split_sizes():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice(["từ", " ", " ", ". ", "\n\n", "dài" * rng.randint(1, 30)]) for _ in range(rng.randint(0, 120)))
+        got = udfs.split_to_size(text, 50, 10)
+        assert all(0 < len(p) <= 50 for p in got)
+        assert "".join("".join(got).split()) == "".join(text.split())
+    assert udfs.split_to_size("a b\n\nc d", 5, 0) == ["a b", "c d"] and udfs.split_to_size("x" * 7, 3, 0) == ["xxx", "xxx", "x"]
+    assert udfs.split_to_size("aaaa bbbb c", 9, 3) == ["aaaa bbbb", "c"] and udfs.split_to_size("aaa bbbbb c", 7, 3) == ["aaa", "bbbbb c"]
+
+
 def test_plain():
     assert plain("Đà-Nẵng  2") == "da nang 2" and plain(None) == ""
     assert title_key(" Hà_Nội  cũ ") == "hà nội cũ"
