@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 _OTHER = re.compile(r"[^a-z0-9]+")
+_MARKS = re.compile("[\u0300-\u0314\u0316-\u0319\u031b-\u034e\u0350-\u036f]")
 _BLANKS = re.compile(r"\s+")
 
 
@@ -17,8 +18,11 @@ def plain(text: str | None) -> str:
     """Decomposed (NFKD), without combining marks, lower case, đ as d, other characters as single blanks."""
     if not text:
         return ""
-    bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return _OTHER.sub(" ", bare.lower().replace("đ", "d")).strip()
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("đ", "d").replace("Đ", "d")
+        if not text.isascii():  # marks outside the common block, letters of other scripts
+            text = "".join(c for c in text if not unicodedata.combining(c))
+    return _OTHER.sub(" ", text.lower().replace("đ", "d")).strip()
 
 
 def title_key(title: str | None) -> str:
