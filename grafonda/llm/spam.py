@@ -37,6 +37,7 @@ FUNCTION_WORDS = frozenset(
 _HEAD_WORDS = frozenset("thể loại the loai category categories catégorie catégories".split())
 _TERM = re.compile(r"#\w+|https?://[^\s)\]\"'<>]+|www\.[^\s)\]\"'<>]+|\w[\w-]*(?:\.[\w-]+)*\.[a-z]{2,10}\b(?:/[^\s)\]\"'<>]*)?|\w+|\n|[^\w\s]")
 _LINK = re.compile(r"https?:|www\.|[^\W_][\w-]*(?:\.[\w-]+)*\.[a-z]{2,10}(?:/|$)")
+_OTHER_LETTERS = re.compile(r"[^\W\d_\u0041-\u024f\u1e00-\u1eff\u0300-\u036f]")
 _NEAR, _WINDOW, _LAGS, _ALONE, _ECHO = 24, 20, 16, 14, 9
 _WORD, _FUNCTION, _ADDRESS, _BREAK, _MARK, _LONG = 1, 2, 4, 8, 16, 32
 
@@ -67,7 +68,7 @@ class Terms:
             kind, size = _WORD, len(term)
             if term in FUNCTION_WORDS:
                 kind |= _FUNCTION
-            elif size > 14:
+            elif size > 14 or _OTHER_LETTERS.search(term):
                 kind |= _LONG
         self.kind.append(kind)
         self.length.append(size)
@@ -136,7 +137,7 @@ def filler_share(texts: list[str], terms: Terms) -> np.ndarray:
     # a function word back within a few places is part of a product's name ("giay do; giay do")
     functional = _around(function & (since > _ECHO), low, high) / width
     distinct = _around(function & (since > _WINDOW), low, high) / width
-    # words run together hide their function words: windows of such are not judged by the lack of them
+    # words run together hide their function words, and those of other scripts are not listed: windows of such are not judged by the lack of them
     joined = _around((kd & _LONG) > 0, low, high) / width
     weight = np.maximum(_around(ln, low, high), 1)
     linked = _around(np.where(kd & _ADDRESS, ln, 0), low, high) / weight

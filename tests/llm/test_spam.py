@@ -38,3 +38,8 @@ def test_table(spark):
     assert [r["id"] for r in S.filler_pages(df).collect()] == [1]
     assert S.filler_pages(df, above=None).count() == 5
     assert S.filler_pages(df.limit(0)).count() == 0
+
+
+def test_other_scripts_are_no_filler():
+    text = "Город стоит на берегу реки и известен своими мастерами. В начале века здесь построили первый мост, а потом и школу. Жители помнят наводнение, которое разрушило старую площадь, и каждый год приходят к памятнику. "
+    assert S.filler_share([text, text + text.replace("мост", "вокзал").replace("реки", "моря")], S.Terms()).max() < 0.5
