@@ -21,8 +21,13 @@ def bounded(pattern: str) -> str:
     return flag + (WORD_BEGIN if begins else "") + rest.replace(r"\b", WORD_END)
 
 
+def _any_case(pattern: str) -> str:
+    """The pattern with case set aside for all letters; the JVM's flag alone means ASCII letters."""
+    return pattern.replace("(?i)", "(?iu)")
+
+
 def any_match(column: Column, patterns) -> Column:
-    return reduce(lambda a, b: a | b, [column.rlike(bounded(p)) for p in patterns])
+    return reduce(lambda a, b: a | b, [column.rlike(_any_case(bounded(p))) for p in patterns])
 
 
 def let(value: Column, body) -> Column:
@@ -94,7 +99,7 @@ _OPENERS = "ai|gì|nào|ở đâu|khi nào|bao giờ|tại sao|vì sao|như th
 
 def question_entities(column: Column) -> Column:
     """array<string>: names a question is about: capitalised runs behind the opening word, else what it quotes, else its first three words."""
-    rest = F.regexp_replace(F.trim(column), rf"(?i)^({_OPENERS})\s*", "")
+    rest = F.regexp_replace(F.trim(column), rf"(?iu)^({_OPENERS})\s*", "")
     names = F.regexp_extract_all(rest, F.lit(r"([A-ZÀ-Ỹ][a-zà-ỹ]+(?:\s+[A-ZÀ-Ỹ][a-zà-ỹ]+)*)"), 1)
     quoted = F.regexp_extract_all(column, F.lit('"([^"]+)"'), 1)
     words = F.filter(F.split(collapse(rest), " "), lambda w: w != "")
@@ -140,7 +145,7 @@ def question_template(column: Column) -> Column:
         F.when(relating, second).otherwise("").alias("second"),
     )
     out = F.when(F.lit(False), F.struct(F.lit("").alias("template"), F.lit("").alias("first"), F.lit("").alias("second")))
-    for pattern, name in QUESTION_PATTERNS:
+    for pattern, name in ((_any_case(p), n) for p, n in QUESTION_PATTERNS):
         two = F.trim(F.regexp_extract(column, pattern, 2)) if name == "two_entity_intersection" else F.lit("")
         out = out.when(column.rlike(pattern), F.struct(F.lit(name).alias("template"), F.trim(F.regexp_extract(column, pattern, 1)).alias("first"), two.alias("second")))
     return out.when(F.size(names) > 0, guess)
@@ -190,7 +195,7 @@ MARKUP = (
 
 def strip_markup(column: Column) -> Column:
     """Readable text of wiki markup; nested templates must be gone before (see `udfs.strip_templates`)."""
-    text = reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), MARKUP, column)
+    text = reduce(lambda t, s: F.regexp_replace(t, _any_case(s[0]), s[1]), MARKUP, column)
     # what is left of a link cut off at the begin of a chunk
     stray = F.ltrim(text).startswith("|") | ((F.instr(text, "]]") > 0) & (F.instr(F.substring_index(text, "]]", 1), "[[") == 0))
     text = F.when(stray, F.regexp_replace(text, r"^(?s)(.*?)[^\[]*?\]\]", "$1")).otherwise(text)
