@@ -50,12 +50,11 @@ def bm25(questions: DataFrame, index: DataFrame, doc_count: DataFrame) -> DataFr
     they are few, else by a semi join.
     """
     asked = questions.select("query_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
-    words = [r[0] for r in asked.select("term").distinct().limit(ASKED + 1).collect()]
+    words = asked.select("term", _bucket(F.col("term"))).distinct().limit(ASKED + 1).collect()
     if len(words) <= ASKED:
-        wanted = index.where(F.col("term").isin(words))
+        wanted = index.where(F.col("term").isin([r["term"] for r in words]))
         if "bucket" in index.columns:
-            buckets = [r[0] for r in asked.select(_bucket(F.col("term"))).distinct().collect()]
-            wanted = wanted.where(F.col("bucket").isin(buckets))
+            wanted = wanted.where(F.col("bucket").isin(sorted({r["bucket"] for r in words})))
     else:
         wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
@@ -120,11 +119,12 @@ def vector_search(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame
     spark = vectors.sparkSession
     q = questions.select("query_id", F.col("embedding").cast("array<double>").alias("e")).where(F.col("e").isNotNull() & ~F.exists("e", lambda x: x.isNull()))
     usable = vectors.select("doc", "embedding").where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
-    blocks = -(-q.count() // QUESTION_BLOCK)
+    few = q.limit(QUESTION_BLOCK + 1).collect()
+    blocks = 1 if len(few) <= QUESTION_BLOCK else -(-q.count() // QUESTION_BLOCK)
     kinds = dict(vectors.dtypes)["doc"], dict(q.dtypes)["query_id"]
     every = spark.createDataFrame([], f"query_id {kinds[1]}, doc {kinds[0]}, cosine double")
     for block in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        rows = few if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
         for dim in {len(r["e"]) for r in rows} - {0}:
             some = [r for r in rows if len(r["e"]) == dim]
             named = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(some)], f"q int, query_id {kinds[1]}")

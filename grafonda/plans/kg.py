@@ -74,15 +74,25 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, question): the titles of pages whose id is divisible by 100 search all chunks."""
-    return pages(spark, sf).where("try_cast(page_id as bigint) % 100 = 0 and title <> ''").select(F.col("page_id").alias("query_id"), F.col("title").alias("question"))
+    """(query_id, question): the titles of pages whose id is divisible by 100 search all chunks; written once a session."""
+    asked = lambda: pages(spark, sf).where("try_cast(page_id as bigint) % 100 = 0 and title <> ''").select(F.col("page_id").alias("query_id"), F.col("title").alias("question"))
+    return built(spark, sf, "questions", asked)
 
 
 def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, embedding): a question's vector, here that of its page's first chunk that has one."""
-    v = vectors(spark, sf).select(F.col("page_id").alias("query_id"), "seq", "doc", "embedding")
-    lead = v.join(questions(spark, sf).select("query_id"), "query_id", "left_semi").groupBy("query_id").agg(F.min_by("embedding", F.struct(F.col("seq").isNull(), "seq", "doc")).alias("embedding"))
-    return lead
+    """(query_id, embedding): a question's vector, here that of its page's first chunk that has one; written once a session."""
+
+    def lead():
+        v = indexed_vectors(spark, sf).select(F.col("page_id").alias("query_id"), "seq", "doc", "embedding")
+        mine = v.join(questions(spark, sf).select("query_id"), "query_id", "left_semi")
+        return mine.groupBy("query_id").agg(F.min_by("embedding", F.struct(F.col("seq").isNull(), "seq", "doc")).alias("embedding"))
+
+    return built(spark, sf, "question_vectors", lead)
+
+
+def indexed_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """`vectors`, written once a session."""
+    return built(spark, sf, "vectors", lambda: vectors(spark, sf))
 
 
 def names(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from grafonda.operators import metrics
 from grafonda.operators import retrieval as R
 from grafonda.plans import kg
 from grafonda.plans.kg import NAMES_CTE, VECTOR_CTE, bm25_cte, community_cte, query, with_kg
-from grafonda.session import built, materialise, table
+from grafonda.session import materialise, table
 
 _K = 10
 _BM = bm25_cte("bm", "ch", "chunk_id", "text")
@@ -124,7 +124,7 @@ def _fused(spark, sf, channels=CHANNELS):
     if "bm25" in channels:
         found["bm25"] = R.top(_chunk_hits(spark, sf), 3 * _K)
     if "vector" in channels:
-        found["vector"] = R.vector_search(kg.question_vectors(spark, sf), built(spark, sf, "vectors", lambda: kg.vectors(spark, sf)), 3 * _K)
+        found["vector"] = R.vector_search(kg.question_vectors(spark, sf), kg.indexed_vectors(spark, sf), 3 * _K)
     if "graph" in channels or "community" in channels:
         hits = materialise(_entity_hits(spark, sf), "hits")
         if "graph" in channels:
