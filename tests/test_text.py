@@ -82,7 +82,7 @@ def test_aliases(spark):
 def test_question_reading(spark):
     names = T.question_entities(F.col("t"))
     assert one(spark, names, t="Ai cho Lê Lợi hay Trãi") == ["Lê Lợi", "Trãi"]
-    assert one(spark, names, t="vì sao trời lại mưa to") == ["trời lại mưa"] and one(spark, names, t="") == []
+    assert one(spark, names, t="vì sao mua to nay thay") == ["mua to nay"] and one(spark, names, t="") == []
     t = T.question_template(F.col("t"))
     assert tuple(one(spark, t, t="Mối quan hệ giữa Huế và Hà Nội")) == ("two_entity_intersection", "Huế", "Hà Nội")
     assert tuple(one(spark, t, t="Huế là gì"))[:2] == ("find_entity", "Huế")
