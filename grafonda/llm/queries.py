@@ -74,7 +74,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     pieces = cutting.cut_items(table(spark, sf, "chunks_v2"), keep_small=False)
-    return pieces.select(F.col("id").alias("chunk_id"), "section", "seq", "begin", "end", "text")
+    return pieces.select(F.col("id").alias("chunk_id"), "version", "section", "seq", "begin", "end", "text")
 
 
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
