@@ -5,8 +5,8 @@ numbers as ``#``) and settles what the pair alone shows: nothing said, the quest
 that breaks off in mid-phrase. What it does not show comes from the collection:
 
 * *Openings.* The distinct masked openings are clustered by MinHash of their character 5-shingles
-  (32 hashes, 8 bands), candidates verified at a Jaccard similarity of 0.8, clusters closed over
-  chains. A cluster that recurs over unrelated prompts in whole sentences and whose members *inform* of
+  (32 hashes, 8 bands), all candidates of a band verified at a Jaccard similarity of 0.8, clusters
+  closed over chains. A cluster that recurs over unrelated prompts in whole sentences and whose members *inform* of
   nothing, that is, bring neither a number nor a name that the question does not have, is a refusal
   template in whatever language. Phrases of declining settle clusters of few members and responses
   that recur nowhere; "He refused to answer ... and left in 1960" declines, recurs and informs.
@@ -29,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grafonda.functions.plainform import plain
@@ -287,47 +287,57 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([batch.column("opening"), batch.column("prompts"), pa.array(keys, pa.list_(pa.int64()))], names=["opening", "prompts", "bands"])
 
 
-_HEADS = 128
+#: openings of a band compared at once, and shingles looked at together
+_TILE, _SPAN = 512, 4096
+
+
+def _shared(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
+    """Numbers of shingles in common, every set of `p` with every set of `q`."""
+    rows = [np.repeat(np.arange(len(sets)), [len(x) for x in sets]) for sets in (p, q)]
+    at = np.unique(np.concatenate([*p, *q]), return_inverse=True)[1]
+    columns = at[: len(rows[0])], at[len(rows[0]) :]
+    out = np.zeros((len(p), len(q)), np.float32)
+    for first in range(0, int(at.max()) + 1, _SPAN):
+        sides = []
+        for owner, column, sets in zip(rows, columns, (p, q)):
+            here = (column >= first) & (column < first + _SPAN)
+            side = np.zeros((len(sets), _SPAN if at.max() >= _SPAN else int(at.max()) + 1), np.float32)
+            side[owner[here], column[here] - first] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
 
 
 def _met(batches):
-    """(opening, prompts, band, head, alike): per row of a band one link to every head it is alike to, or one without a head."""
+    """(src, dst): links of two tiles of a band."""
+    known = lru_cache(maxsize=50_000)(_shingles)
     for batch in batches:
-        known = lru_cache(maxsize=None)(_shingles)
         out = []
-        for opening, prompts, band, place, heads in zip(*(batch.column(c).to_pylist() for c in ("opening", "prompts", "band", "place", "heads"))):
-            p = known(opening)
-            links = []
-            for head in heads:
-                if head != opening:
-                    q = known(head)
-                    shared = len(np.intersect1d(p, q, assume_unique=True))
-                    if shared >= 0.8 * (len(p) + len(q) - shared):
-                        links.append(head)
-            # a head has met all others of its band
-            out += [(opening, prompts, band, head, True) for head in links] or [(opening, prompts, band, None, place <= _HEADS)]
-        cols = list(zip(*out)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["opening", "prompts", "band", "head", "settled"])
+        for left, right, same in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "same"))):
+            if not left or not right:
+                continue
+            p, q = [known(x) for x in left], [known(x) for x in right]
+            shared = _shared(p, q)
+            alike = shared >= 0.8 * (np.array([len(x) for x in p])[:, None] + np.array([len(x) for x in q])[None, :] - shared)
+            # a tile met with itself has every pair twice
+            out += [(left[i], right[j]) for i, j in zip(*(x.tolist() for x in np.nonzero(alike))) if not same or left[i] < right[j]]
+        cols = list(zip(*out)) or [()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["src", "dst"])
 
 
 def opening_clusters(openings: DataFrame) -> DataFrame:
     """(opening, cluster): every distinct opening with its cluster, openings verified to be alike and chains of such.
 
-    `openings` has (opening, prompts). In every band the `_HEADS` most frequent openings are met by all;
-    those alike to none of them meet the most frequent ones among themselves, until none is left. So
-    candidates grow with the openings and not with the pairs among them.
+    `openings` has (opening, prompts). All openings of a band are compared with one another, in tiles
+    of about `_TILE` met by separate tasks, so no band is a bottleneck and no pair of one is left out.
     """
-    left = openings.mapInArrow(_bands, "opening string, prompts long, bands array<long>").select("opening", "prompts", F.explode("bands").alias("band"))
-    links = None
-    while True:
-        ranked = left.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("prompts"), "opening")))
-        heads = ranked.where(F.col("place") <= _HEADS).groupBy("band").agg(F.collect_list("opening").alias("heads")).where(F.size("heads") > 1)
-        met = materialise(ranked.join(heads, "band").select("opening", "prompts", "band", "place", "heads").mapInArrow(_met, "opening string, prompts long, band long, head string, settled boolean"), "met")
-        found = met.where("head is not null").select(F.col("opening").alias("src"), F.col("head").alias("dst"))
-        links = found if links is None else links.unionAll(found)
-        left = met.where("not settled").select("opening", "prompts", "band")
-        if left.isEmpty():
-            break
+    banded = openings.mapInArrow(_bands, "opening string, prompts long, bands array<long>").select("opening", F.explode("bands").alias("band")).distinct()
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / _TILE).alias("parts"))
+    placed = materialise(banded.join(sizes, "band").select("opening", "band", "parts", F.pmod(F.xxhash64("opening"), "parts").alias("part")), "banded")
+    left = placed.select("band", F.col("part").alias("lo"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("hi"), F.col("opening").alias("l"), F.lit(None).cast("string").alias("r"))
+    right = placed.select("band", F.explode(F.sequence(F.lit(0).cast("bigint"), "part")).alias("lo"), F.col("part").alias("hi"), F.lit(None).cast("string").alias("l"), F.col("opening").alias("r"))
+    cells = left.unionByName(right).groupBy("band", "lo", "hi").agg(F.collect_list("l").alias("left"), F.collect_list("r").alias("right"))
+    links = cells.select("left", "right", (F.col("lo") == F.col("hi")).alias("same")).mapInArrow(_met, "src string, dst string")
     members = connected_components(links.distinct())
     return openings.join(members.select(F.col("node").alias("opening"), "component"), "opening", "left").select("opening", F.coalesce("component", "opening").alias("cluster"))
 

@@ -1,5 +1,7 @@
 """Defects of answers."""
 
+import hashlib
+
 import pytest
 
 from grafonda.llm import defects as D
@@ -76,6 +78,16 @@ def test_openings_close_over_chains_and_past_the_most_frequent(spark):
     assert got[base] == got[near] == got[chained] != got[other] == got[other + " e"]
 
 
+def test_openings_of_a_large_band_all_meet(spark):
+    base = "the archive of the river council holds the second register by the lake "
+    heads = [base + hashlib.sha256(str(i).encode()).hexdigest()[:20] for i in range(700)]
+    # alike to the most frequent one, and to one that no frequent one is alike to; bands hold up to 443 openings
+    middle, last = heads[30][:-10], base.rstrip()
+    rows = [(x, 1000 if x == heads[30] else 100) for x in heads] + [(middle, 1), (last, 1)]
+    got = dict(D.opening_clusters(spark.createDataFrame(rows, "opening string, prompts long")).collect())
+    assert got[heads[30]] == got[middle] == got[last] and len(set(got.values())) == 700
+
+
 def test_templates_reveal_refusals_and_cuts(spark):
     names = ["Lê Lợi", "Trần Phú", "Lý Bí", "Mai An", "Hồ Quý", "Vũ Tam", "Đỗ Tư", "Ngô Ba"]
     rows = []
