@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafonda.session import materialise
+from grafonda.session import materialise, tasks_for
 
 
 def cooccurrence(mentions: DataFrame, least: int = 1) -> DataFrame:
@@ -177,12 +179,41 @@ def shuffled(rows: DataFrame, *key: str) -> DataFrame:
     return rows.orderBy(F.md5(F.concat_ws("|", *key)), *key)
 
 
-def two_hop_walks(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(page1, entity, page2, chunk1, chunk2): ordered page pairs bridged by an entity, with the smallest chunk on either side."""
-    pe = mentions.join(chunks.select("chunk_id", "page_id"), "chunk_id").groupBy("page_id", "entity").agg(F.min("chunk_id").alias("chunk"))
-    one = pe.select(F.col("page_id").alias("page1"), "entity", F.col("chunk").alias("chunk1"))
-    two = pe.select(F.col("page_id").alias("page2"), "entity", F.col("chunk").alias("chunk2"))
-    return one.join(two, "entity").where("page1 <> page2")
+#: rows on either side that meet in one task, and pairs a task gives
+_TILE, _PAIRS = 2048, 2_000_000
+
+
+def crossed(left: DataFrame, right: DataFrame, by: str, tile: int = _TILE) -> DataFrame:
+    """`left` joined with `right` on `by`: all pairs of a value that many rows have on either side, part by part in separate tasks.
+
+    The rows of a value are dealt into parts and travel once for every part of the other side, so what
+    is exchanged grows with the rows and not with the pairs. Both sides are read twice.
+    """
+    count = lambda df, name: df.groupBy(by).agg(F.count("*").alias(name))
+    sizes = materialise(count(left, "_l").join(count(right, "_r"), by), "sizes")
+    pairs = sizes.agg(F.sum(F.col("_l") * F.col("_r"))).first()[0] or 0
+    tasks = tasks_for(left.sparkSession, pairs, _PAIRS)
+    large = sizes.select(by, F.ceil(F.col("_l") / tile).alias("_ls"), F.ceil(F.col("_r") / tile).alias("_rs")).where("_ls > 1 or _rs > 1")
+
+    def dealt(df: DataFrame, own: str, other: str, mine: str, every: str) -> DataFrame:
+        placed = df.join(large, by, "left").fillna(1, ["_ls", "_rs"])
+        part = F.pmod(F.xxhash64(*(c for c in df.columns if c != by)), F.col(own)).cast("long")
+        return placed.select(*df.columns, part.alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(every)).repartition(tasks, by, "_i", "_j")
+
+    return dealt(left, "_ls", "_rs", "_i", "_j").join(dealt(right, "_rs", "_ls", "_j", "_i"), [by, "_i", "_j"]).drop("_i", "_j")
+
+
+def two_hop_walks(mentions: DataFrame, chunks: DataFrame, told: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(page1, entity, page2, chunk1, chunk2, ...): ordered page pairs bridged by an entity, with the smallest chunk on either side.
+
+    `told` adds columns to the rows (page_id, entity, chunk) before they meet, so that the pairs need
+    no further join; they come out numbered like the chunks.
+    """
+    pe = materialise(mentions.join(chunks.select("chunk_id", "page_id"), "chunk_id").groupBy("page_id", "entity").agg(F.min("chunk_id").alias("chunk")), "page_entity")
+    pe = told(pe) if told else pe
+    more = [c for c in pe.columns if c not in ("page_id", "entity", "chunk")]
+    side = lambda n: pe.select("entity", F.col("page_id").alias(f"page{n}"), *(F.col(c).alias(f"{c}{n}") for c in ("chunk", *more)))
+    return crossed(side(1), side(2), "entity").where("page1 <> page2").select("page1", "entity", "page2", *(f"{c}{n}" for c in ("chunk", *more) for n in (1, 2)))
 
 
 def three_hop_walks(mentions: DataFrame, chunks: DataFrame) -> DataFrame:

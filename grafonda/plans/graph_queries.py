@@ -270,14 +270,15 @@ def walks_broken(spark, sf):
     return graph.broken_walks(kg.mentions(spark, sf))
 
 
-def _walk_questions(spark, sf):
-    walks = graph.two_hop_walks(kg.mentions(spark, sf), kg.chunks(spark, sf).where("page_id is not null"))
-    pg = kg.pages(spark, sf).select("page_id", "title")
-    named = (
-        walks.join(pg.select(F.col("page_id").alias("page1"), F.col("title").alias("t1")), "page1")
-        .join(pg.select(F.col("page_id").alias("page2"), F.col("title").alias("t2")), "page2")
-        .join(kg.entities(spark, sf), "entity")
-    )
+def _walk_questions(spark, sf, texts=None):
+    """Walks with their question; titles, labels and, if given, `texts` (chunk, s) are looked up before pages meet."""
+    pg = kg.pages(spark, sf).select("page_id", F.col("title").alias("t"))
+
+    def told(pe):
+        rows = pe.join(pg, "page_id").join(kg.entities(spark, sf), "entity")
+        return rows if texts is None else rows.join(texts, "chunk")
+
+    named = graph.two_hop_walks(kg.mentions(spark, sf), kg.chunks(spark, sf).where("page_id is not null"), told).withColumnRenamed("label1", "label")
     key = F.concat_ws("|", "page1", "entity", "page2")
     kinds = F.create_map(*[x for k, v in L.TWO_HOP_QUESTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     options = F.coalesce(F.try_element_at(kinds, F.col("label")), F.array(*map(F.lit, L.TWO_HOP_QUESTIONS["Person"])))
