@@ -29,3 +29,8 @@ def test_crossed_deals_out_values_with_many_rows(spark):
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
 def test_questions_of_walks_join_nothing_to_pairs(spark):
     assert "_i#" in last_join(spark, "qa_from_walks")
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_answers_of_walks_join_nothing_to_pairs(spark):
+    assert "_i#" in last_join(spark, "qa_answers")
