@@ -257,9 +257,7 @@ _PICK3 = "[" + ", ".join("'" + q + "'" for q in L.THREE_HOP_QUESTIONS) + "][(('0
 @query(with_kg("SELECT walk_key, replace(replace(replace(replace(" + _PICK3 + ", '{entity1}', entity1), '{entity2}', entity2), '{page1}', t1), '{page2}', t2) AS question FROM (SELECT w3.page1 || '|' || entity1 || '|' || entity2 || '|' || w3.page2 AS walk_key, entity1, entity2, a.title AS t1, b.title AS t2 FROM w3 JOIN pg a ON a.page_id = w3.page1 JOIN pg b ON b.page_id = w3.page2)", *_WALKS3))
 def qa_from_walks_3hop(spark, sf):
     """A question for every three-chunk walk, its template drawn by the digest of the walk's key."""
-    walks = graph.three_hop_walks(kg.mentions(spark, sf), kg.chunks(spark, sf).where("page_id is not null"))
-    pg = kg.pages(spark, sf).select("page_id", "title")
-    named = walks.join(pg.select(F.col("page_id").alias("page1"), F.col("title").alias("t1")), "page1").join(pg.select(F.col("page_id").alias("page2"), F.col("title").alias("t2")), "page2")
+    named = graph.three_hop_walks(kg.mentions(spark, sf), kg.chunks(spark, sf).where("page_id is not null"), kg.pages(spark, sf).select("page_id", "title"))
     key = F.concat_ws("|", "page1", "entity1", "entity2", "page2")
     template = F.get(F.array(*map(F.lit, L.THREE_HOP_QUESTIONS)), (F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("bigint") % 3).cast("int"))
     return named.select(key.alias("walk_key"), filled(template, entity1=F.col("entity1"), entity2=F.col("entity2"), page1=F.col("t1"), page2=F.col("t2")).alias("question"))

@@ -34,3 +34,8 @@ def test_questions_of_walks_join_nothing_to_pairs(spark):
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
 def test_answers_of_walks_join_nothing_to_pairs(spark):
     assert "_i#" in last_join(spark, "qa_answers")
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_questions_of_three_chunk_walks_join_nothing_to_pairs(spark):
+    assert "_i#" in last_join(spark, "qa_from_walks_3hop")
