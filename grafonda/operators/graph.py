@@ -67,6 +67,8 @@ def neighbourhood(centres: DataFrame, mentions: DataFrame, hops: int = 1) -> Dat
     Starts from the centres: their chunks, then the names in those, distinct at every step, so that
     only what the centres reach is joined.
     """
+    if hops > 1:
+        return _two_hops(centres, mentions)
     places = mentions.select(F.col("entity").alias("x"), "chunk_id")
 
     def onward(rows: DataFrame) -> DataFrame:
@@ -74,12 +76,38 @@ def neighbourhood(centres: DataFrame, mentions: DataFrame, hops: int = 1) -> Dat
         return chunks.join(mentions.select("chunk_id", "entity"), "chunk_id").select("centre", "entity").distinct().where("entity <> centre")
 
     first = onward(centres.select(F.col("entity").alias("centre"), F.col("entity").alias("x")).distinct())
-    reached = first.select("centre", F.lit(1).alias("hop"), "entity")
-    if hops > 1:
-        # a neighbour alone in all its chunks but those of the centre leads back to names already met
-        second = onward(first.select("centre", F.col("entity").alias("x")))
-        reached = reached.unionByName(second.join(first, ["centre", "entity"], "left_anti").select("centre", F.lit(2).alias("hop"), "entity"))
-    return reached
+    return first.select("centre", F.lit(1).alias("hop"), "entity")
+
+
+#: centres up to which their names travel to all tasks
+_NAMED = 50_000
+
+
+def _two_hops(centres: DataFrame, mentions: DataFrame) -> DataFrame:
+    """`neighbourhood` of two hops with 64 centres to a word of bits: a row is what a chunk or name has of a word, not of a centre.
+
+    Most pairs of a centre and a name two hops away are met in many chunks; as bits they are united
+    where they meet and become rows only at the end.
+    """
+    named = materialise(numbered(centres.where("entity is not null").select(F.col("entity").alias("centre")).distinct(), "centre").select("centre", F.shiftright("place", 6).alias("w"), F.col("place").bitwiseAND(63).cast("int").alias("bit")), "centres")
+    met = materialise(mentions.select("chunk_id", "entity"), "met")
+    own = named.select(F.col("centre").alias("entity"), "w", F.expr("shiftleft(1L, bit)").alias("bits"))
+
+    def onward(rows: DataFrame) -> DataFrame:
+        chunks = rows.join(met, "entity").groupBy("chunk_id", "w").agg(F.bit_or("bits").alias("bits"))
+        return chunks.join(met, "chunk_id").groupBy("entity", "w").agg(F.bit_or("bits").alias("bits"))
+
+    def without(rows: DataFrame, known: DataFrame) -> DataFrame:
+        left = rows.join(known.withColumnRenamed("bits", "_known"), ["entity", "w"], "left")
+        return left.select("entity", "w", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0")
+
+    first = materialise(without(onward(own), own), "hop")
+    # a neighbour alone in all its chunks but those of the centre leads back to names already met
+    second = without(without(onward(first), first), own)
+    reached = first.withColumn("hop", F.lit(1)).unionByName(second.withColumn("hop", F.lit(2)))
+    names = named.groupBy("w").agg(F.transform(F.array_sort(F.collect_list(F.struct("bit", "centre"))), lambda x: x["centre"]).alias("names"))
+    names = F.broadcast(names) if named.limit(_NAMED + 1).count() <= _NAMED else names
+    return reached.join(names, "w").select(F.explode(F.expr("filter(names, (c, i) -> getbit(bits, i) = 1)")).alias("centre"), "hop", "entity")
 
 
 def neighbourhood_chunks(reached: DataFrame, mentions: DataFrame, k: int = 10) -> DataFrame:

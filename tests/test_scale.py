@@ -39,3 +39,19 @@ def test_answers_of_walks_join_nothing_to_pairs(spark):
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
 def test_questions_of_three_chunk_walks_join_nothing_to_pairs(spark):
     assert "_i#" in last_join(spark, "qa_from_walks_3hop")
+
+
+def test_two_hops_travel_as_bits(spark):
+    # a chain of 200 names, all of them centres, and a hub that 70 names share a chunk with
+    met = [(f"c{i}", f"e{i + d}") for i in range(200) for d in (0, 1)] + [("hub", f"e{i}") for i in range(0, 140, 2)]
+    m, c = spark.createDataFrame(met, "chunk_id string, entity string"), spark.createDataFrame([(f"e{i}",) for i in range(200)] + [("none",), (None,)], "entity string")
+    near = {}
+    for chunk, e in met:
+        for other, f in met:
+            if chunk == other and e != f:
+                near.setdefault(e, set()).add(f)
+    want = {(f"e{i}", 1, f) for i in range(200) for f in near[f"e{i}"]}
+    want |= {(f"e{i}", 2, g) for i in range(200) for f in near[f"e{i}"] for g in near[f] - near[f"e{i}"] - {f"e{i}"}}
+    got = graph.neighbourhood(c, m, 2).select("centre", "hop", "entity")
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert "bit_or" in got._jdf.queryExecution().optimizedPlan().toString()
