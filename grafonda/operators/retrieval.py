@@ -144,10 +144,10 @@ def community_channel(entity_hits: DataFrame, communities: DataFrame, mentions:
     hits = top(entity_hits, entities).select("query_id", F.col("doc").alias("entity"), "score")
     summed = hits.join(communities, "entity").groupBy("query_id", "community").agg(F.round(F.sum("score"), 6).alias("score"))
     chosen = top(summed.withColumnRenamed("community", "doc"), best).select("query_id", F.col("doc").alias("community"), "score")
+    # a community's first documents are the same for every question, so they are drawn before questions meet them
     members = communities.join(mentions, "entity").select("community", "chunk_id").distinct()
-    reached = chosen.join(members, "community")
-    w = Window.partitionBy("query_id", "community").orderBy("chunk_id")
-    capped = reached.withColumn("i", F.row_number().over(w)).where(F.col("i") <= 2 * k)
+    first = members.withColumn("i", F.row_number().over(Window.partitionBy("community").orderBy("chunk_id"))).where(F.col("i") <= 2 * k).drop("i")
+    capped = chosen.join(first, "community")
     return top(capped.groupBy("query_id", F.col("chunk_id").alias("doc")).agg(F.max("score").alias("score")), k)
 
 

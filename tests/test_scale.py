@@ -55,3 +55,10 @@ def test_two_hops_travel_as_bits(spark):
     got = graph.neighbourhood(c, m, 2).select("centre", "hop", "entity")
     assert Counter(map(tuple, got.collect())) == Counter(want)
     assert "bit_or" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_documents_of_communities_are_drawn_before_questions_meet_them(spark):
+    plan = catalogue.queries()["community_channel"](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number()" in line and "chunk_id" in line and "community" in line]
+    assert windows and not any("query_id" in line for line in windows)
