@@ -9,6 +9,8 @@ from grafonda.functions import lexicon as L
 from grafonda.functions.text import any_match, collapse, disambiguation, entity_type, hint_type, is_noise, wikilinks
 from grafonda.functions.plainform import nfkc
 from grafonda.functions.udfs import without_marks
+from grafonda.operators.graph import crossed
+from grafonda.session import materialise
 
 
 def name_key(name: Column) -> Column:
@@ -110,6 +112,29 @@ def without_noise(entities: DataFrame) -> DataFrame:
     return typed_labels(entities).where(F.col("typed") | ~noise).drop("typed")
 
 
+#: a blank and the three characters on either side of it, by which names and texts meet
+_AROUND_BLANK = "(?s).{3} .{3}"
+
+
+def contained(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """(chunk_id, entity): distinct names (page_id, entity) that stand in the texts (chunk_id, page_id, low) of their page, anywhere in a word too.
+
+    A text that holds a name holds what is around the name's first blank: names meet only texts that do
+    and are then looked for. Names without three characters on either side of a blank are looked for
+    in all texts of their page, many of them in separate tasks.
+    """
+    chunks = materialise(chunks.where("page_id is not null and low is not null"), "texts")
+    keyed = materialise(names.select("page_id", "entity", F.regexp_extract("entity", _AROUND_BLANK, 0).alias("gram")).distinct(), "names")
+    every = F.regexp_extract_all("low", F.lit(f"(?=({_AROUND_BLANK}))"), F.lit(1))  # matches may overlap
+    # hashes travel instead of texts: a collision adds a candidate, and candidates are looked for in the text
+    place, key = F.xxhash64("chunk_id").alias("place"), lambda gram: F.xxhash64("page_id", gram)
+    grams = chunks.select(place, F.explode(F.transform(F.array_distinct(every), key)).alias("key"))
+    likely = grams.join(keyed.where("gram <> ''").select(key(F.col("gram")).alias("key"), "page_id", "entity"), "key").drop("key")
+    found = likely.join(chunks.select("*", place), ["place", "page_id"]).where(F.contains("low", "entity"))
+    rest = crossed(chunks, keyed.where("gram = ''").select("page_id", "entity"), "page_id").where(F.contains("low", "entity"))
+    return found.select("chunk_id", "entity").unionByName(rest.select("chunk_id", "entity")).distinct()
+
+
 def backfilled(chunks: DataFrame, most: int = 25) -> DataFrame:
     """(chunk_id, name): names found anywhere on a page, in the chunks of the page that hold them.
 

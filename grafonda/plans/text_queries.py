@@ -186,7 +186,7 @@ def mentions_containment(spark, sf):
     """Chunks of a page that hold a name mentioned anywhere on the page."""
     ch = kg.chunks(spark, sf).select("chunk_id", "page_id", F.lower("text").alias("low"))
     names = kg.mentions(spark, sf).join(ch.select("chunk_id", "page_id"), "chunk_id").select("page_id", "entity").distinct()
-    return ch.join(names, "page_id").where(F.contains("low", "entity")).select("chunk_id", "entity").distinct()
+    return RES.contained(ch, names)
 
 
 @query(with_kg(r"""SELECT chunk_id, entity, e <> '' AND (contains(t, e) OR (len(w) >= 2 AND contains(t, array_to_string(w[-2:], ' '))) OR (len(w) >= 3 AND contains(t, w[1] || ' ' || w[-1]))) AS grounded

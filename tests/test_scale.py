@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from grafonda.operators import graph
+from grafonda.operators import graph, resolution
 from grafonda.plans import catalogue
 
 TABLES = "/root/testdata/sf0.001"
@@ -62,3 +62,12 @@ def test_documents_of_communities_are_drawn_before_questions_meet_them(spark):
     plan = catalogue.queries()["community_channel"](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "row_number()" in line and "chunk_id" in line and "community" in line]
     assert windows and not any("query_id" in line for line in windows)
+
+
+def test_names_meet_only_texts_that_hold_what_is_around_a_blank(spark):
+    low = {"a": "the old town bridge\nby  the river", "b": "bold town bri", "c": "x 𝒜bc def 𝒜", "d": "abc abc abc abd", "e": "", "f": None}
+    names = ["old town bridge", "old town", "town bri", "bridge\nby", "by the", "the river", "𝒜bc def", "abc abd", "abc abc", "c d", "bold", "town", " ", "zzz zzz"]
+    chunks = spark.createDataFrame([(k, p, t) for k, t in low.items() for p in ("p", None)] + [("g", "q", "the old town bridge")], "chunk_id string, page_id string, low string")
+    on = spark.createDataFrame([("p", n) for n in names] + [(None, "old town"), ("q", "old town")], "page_id string, entity string")
+    got = resolution.contained(chunks, on)
+    assert Counter(map(tuple, got.collect())) == Counter([(k, n) for k, t in low.items() if t for n in names if n in t] + [("g", "old town")])
