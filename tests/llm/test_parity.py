@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,3 +82,46 @@ def test_guarantee_of_partitions():
             k = P.blocks_for(d, r)
             assert P._empty_block_fails(d, k) ** r < P.MISS
     assert P.blocks_for(5, 1) <= 6 and P._empty_block_fails(5, 6) == 0
+
+
+def test_texts_of_one_template_seldom_meet():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghiklmnopqrstuvxy") for _ in range(4)) for _ in range(3000)]
+    texts = [" ".join(["vi sao trang ghi noi dat tru so cua nguoi dung dau", *rng.sample(words, 9)]) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], names=["form", "plain"])
+    (out,) = P._signatures(P.columns_for(0.65), P.ROWS, 300, range(12))([batch])
+    met = 0
+    for row in out.to_pylist():
+        key = np.frombuffer(row["packed"], np.uint32, offset=300 * P._HEAD).reshape(row["columns"], 300)
+        met += sum(int((np.unique(k, return_counts=True)[1] ** 2).sum()) - 300 for k in key)
+    assert met / (300 * 299) < 0.1
+
+
+def test_pairs_at_the_limit_meet():
+    assert (1 - 0.65**P.ROWS) ** P.columns_for(0.65) < P.MISS
+    rng = random.Random(4)
+    lost = 0
+    for size, differing in ((1, 0), (13, 3), (13, 3), (33, 7), (113, 24), (113, 24), (113, 24), (1000, 212)):
+        codes = rng.sample(range(P.UNIVERSE), size + differing)
+        ranks = P._ranks(np.array(codes), np.arange(P.columns_for(0.65) * P.ROWS))
+        a, b = ranks[:size].min(0), ranks[differing:].min(0)
+        lost += not (a == b).reshape(-1, P.ROWS).all(1).any()
+    assert not lost
+
+
+def test_what_is_exchanged_of_a_text_at_once_is_bounded():
+    for forms in (10, 10**5, 10**6, 2 * 10**7):
+        columns = P.columns_for(0.65)
+        groups = P.layout(columns, forms)[0]
+        chosen = P.passes(columns, forms)
+        assert [g for p in chosen for g in p] == list(range(groups))
+        assert max(len(p) * P._HEAD + 4 * sum(len(range(g, columns, groups)) for g in p) for p in chosen) < 2 * P._TRAVEL
+
+
+@pytest.mark.parametrize("entries, travel", [(2000, 1000), (100, 2000)])
+def test_passes_and_ranges_find_the_same(spark, rows, monkeypatch, entries, travel):
+    monkeypatch.setattr(P, "_ENTRIES", entries)
+    monkeypatch.setattr(P, "_TRAVEL", travel)
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    assert run(spark, rows) == pairs_by_brute_force(rows)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
