@@ -43,11 +43,12 @@ UNIVERSE = _SYMBOLS**3
 ROWS = 7
 MISS = 1e-4
 _ENTRIES, _LEAST_GROUPS = 8_000_000, 12  # keys a task sorts; column groups of even the smallest collection
+_HELD = 750_000  # texts whose heads a task holds
 _TRAVEL = 800  # bytes of a text exchanged at once, beyond which its columns are met in several passes
 _HEAD = 40  # bytes of a row's number, sketch and size
 
 
-# The two functions below are the loss of the partitions into blocks that texts met in before; columns are held against it.
+# The two functions below give the loss of partitions into blocks, which texts met in before columns; only a test uses them.
 @cache
 def _empty_block_fails(d: int, k: int) -> float:
     """Probability that d elements thrown into k blocks leave none of them untouched."""
@@ -77,9 +78,10 @@ def columns_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
 
 
 def layout(columns: int, forms: int) -> tuple[int, int]:
-    """(column groups, key ranges a column) so that a task sorts about `_ENTRIES` keys."""
+    """(column groups, key ranges a column) so that a task sorts about `_ENTRIES` keys and holds at most about `_HELD` texts."""
     tasks = max(_LEAST_GROUPS, -(-columns * forms // _ENTRIES))
-    return (min(tasks, columns), 1) if tasks <= columns else (columns, -(-tasks // columns))
+    ranges = max(-(-tasks // columns), -(-forms // _HELD))
+    return (columns, ranges) if ranges > 1 else (tasks, 1)
 
 
 def passes(columns: int, forms: int) -> list[range]:
@@ -375,7 +377,8 @@ def similar_forms(members: DataFrame, threshold: float = 0.65, tile: int = 8192,
     for chosen in passes(columns, count):
         with _exchange_removed(forms.sparkSession):
             signatures = forms.select("form", "plain").mapInArrow(_signatures(columns, rows, count, chosen), SIGNATURE)
-            parts.append(materialise(signatures.repartition(2 * len(chosen) * ranges, "bucket").groupBy("bucket").applyInArrow(_join(threshold, tile), DEFERRED), "parity"))
+            found = signatures.repartition(2 * len(chosen) * ranges, "bucket").groupBy("bucket").applyInArrow(_join(threshold, tile), DEFERRED)
+            parts.append(materialise(found.distinct(), "parity"))  # much alike texts meet in many groups
     met = reduce(DataFrame.unionAll, parts)
     near = met.where(F.col("b").isNotNull()).select("a", "b").union(_deferred_pairs(met.where(F.col("b").isNull()), threshold)).distinct()
     return (
