@@ -270,13 +270,12 @@ def two_hop_walks(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     return crossed(side(1), side(2), "entity").where("page1 <> page2").select("page1", "entity", "page2", "chunk1", "chunk2")
 
 
-def three_hop_walks(mentions: DataFrame, chunks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+def three_hop_walks(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(page1, entity1, entity2, page2, chunk1, chunk3): a chunk of page1 mentions both entities, a chunk of page2 the second, as a third chunk does.
 
     One walk for every page1, entity1, entity2, page2 with page1 <> page2, through its smallest chunks.
     The middle chunk only has to exist, so it is a filter on the entity's degree instead of a join, and
-    both ends are reduced to one chunk a page before they meet. With `titles` (page_id, title) the walks
-    between pages that have one come out with t1 and t2, looked up at the ends before they meet.
+    both ends are reduced to one chunk a page before they meet.
     """
     placed = mentions.join(chunks.select("chunk_id", "page_id"), "chunk_id")
     degree = mentions.groupBy("entity").agg(F.count("*").alias("deg")).where("deg >= 3").select(F.col("entity").alias("entity2"))
@@ -284,12 +283,7 @@ def three_hop_walks(mentions: DataFrame, chunks: DataFrame, titles: DataFrame |
     second = mentions.select("chunk_id", F.col("entity").alias("entity2")).join(degree, "entity2", "left_semi")
     begin = materialise(first.join(second, "chunk_id").where("entity1 <> entity2").groupBy("page1", "entity1", "entity2").agg(F.min("chunk_id").alias("chunk1")), "begin")
     end = materialise(placed.groupBy(F.col("entity").alias("entity2"), F.col("page_id").alias("page2")).agg(F.min("chunk_id").alias("chunk3")), "end")
-    out = ["page1", "entity1", "entity2", "page2", "chunk1", "chunk3"]
-    if titles is not None:
-        begin = begin.join(titles.select(F.col("page_id").alias("page1"), F.col("title").alias("t1")), "page1")
-        end = end.join(titles.select(F.col("page_id").alias("page2"), F.col("title").alias("t2")), "page2")
-        out += ["t1", "t2"]
-    return crossed(begin, end, "entity2").where("page1 <> page2").select(*out)
+    return crossed(begin, end, "entity2").where("page1 <> page2").select("page1", "entity1", "entity2", "page2", "chunk1", "chunk3")
 
 
 def broken_walks(mentions: DataFrame) -> DataFrame:

@@ -256,11 +256,25 @@ _PICK3 = "[" + ", ".join("'" + q + "'" for q in L.THREE_HOP_QUESTIONS) + "][(('0
 
 @query(with_kg("SELECT walk_key, replace(replace(replace(replace(" + _PICK3 + ", '{entity1}', entity1), '{entity2}', entity2), '{page1}', t1), '{page2}', t2) AS question FROM (SELECT w3.page1 || '|' || entity1 || '|' || entity2 || '|' || w3.page2 AS walk_key, entity1, entity2, a.title AS t1, b.title AS t2 FROM w3 JOIN pg a ON a.page_id = w3.page1 JOIN pg b ON b.page_id = w3.page2)", *_WALKS3))
 def qa_from_walks_3hop(spark, sf):
-    """A question for every three-chunk walk, its template drawn by the digest of the walk's key."""
-    named = graph.three_hop_walks(kg.mentions(spark, sf), kg.chunks(spark, sf).where("page_id is not null"), kg.pages(spark, sf).select("page_id", "title"))
-    key = F.concat_ws("|", "page1", "entity1", "entity2", "page2")
-    template = F.get(F.array(*map(F.lit, L.THREE_HOP_QUESTIONS)), (F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("bigint") % 3).cast("int"))
-    return named.select(key.alias("walk_key"), filled(template, entity1=F.col("entity1"), entity2=F.col("entity2"), page1=F.col("t1"), page2=F.col("t2")).alias("question"))
+    """A question for every three-chunk walk, its template drawn by the digest of the walk's key and filled as far as the first page goes before pages meet."""
+    chunks = materialise(kg.gathered(spark, sf).drop("chunk_id"), "gathered")
+    rows = chunks.where("page_id is not null").select(F.explode("names").alias("entity"), "page_id", "title", "names")
+    # of a name: all chunks that mention it, those with a page, and how many other names these mention
+    counts = F.count("*").alias("deg"), F.count("page_id").alias("n"), F.sum(F.when(F.col("page_id").isNotNull(), F.size("names") - 1)).alias("others")
+    counted = chunks.select(F.explode("names").alias("entity"), "page_id", "names").groupBy("entity").agg(*counts).where("deg >= 3 and n > 1")
+    names = materialise(counted.select("entity", "n", (F.col("n") * F.col("others")).alias("pairs")), "names")
+    once = {"title": F.min("title"), "names": F.array_distinct(F.flatten(F.collect_list("names")))}
+    templates = F.array(*map(F.lit, L.THREE_HOP_QUESTIONS))
+
+    def begins(x):
+        asked = lambda e: F.transform(templates, lambda t: filled(t, entity1=e, entity2=F.col("entity"), page1=x["title"]))
+        walk = lambda e: F.struct(x["page_id"].alias("page1"), x["low"].alias("low1"), F.concat(x["page_id"], F.lit("|"), e, F.lit("|"), F.col("entity"), F.lit("|")).alias("key"), asked(e).alias("asked"))
+        return F.transform(F.filter(x["names"], lambda e: e != F.col("entity")), walk)
+
+    right = F.transform("at", lambda x: F.struct(x["page_id"].alias("page2"), x["low"].alias("low2"), x["title"].alias("t2")))
+    key = F.concat("key", "page2")
+    pick = F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("bigint") % len(L.THREE_HOP_QUESTIONS)
+    return graph.paired(rows, names, once, F.flatten(F.transform("at", begins)), right, 1024).select(key.alias("walk_key"), filled(F.get("asked", pick.cast("int")), page2=F.col("t2")).alias("question"))
 
 
 @query(with_kg("SELECT entity, min(chunk_id) AS chunk_id FROM mn GROUP BY entity HAVING count(*) = 1"))

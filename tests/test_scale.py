@@ -95,6 +95,11 @@ def test_passages_are_exchanged_once_for_both_ends_of_walks(spark):
     assert any(" s#" in line for line in reused(spark, "qa_answers"))
 
 
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_names_of_chunks_are_exchanged_once_for_both_ends_of_walks(spark):
+    assert any(" names#" in line for line in reused(spark, "qa_from_walks_3hop"))
+
+
 def test_passages_of_chunks_given_more_than_once(spark, tmp_path):
     long, texts = "x" * 300, ["", " ", "   a  b ", None]
     texts += [long + "b", long + "a", "  " + long + "b", "  " + long + "a", " " * 301, " " * 400 + "z", "y" * 299 + "  z", "é" * 299 + " z", "\t" + long]
